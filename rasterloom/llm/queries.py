@@ -7,13 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import exact_dedup, language_id, mixing, packing, secret_scan, token_counts, url_filter
+from rasterloom.llm import (
+    exact_dedup,
+    html_extract,
+    jaccard_join,
+    language_id,
+    mixing,
+    packing,
+    secret_scan,
+    token_counts,
+    topk_search,
+    url_filter,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return topk_search.search_top_k(spark, vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(spark, _read(spark, sf_dir, "pages"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(spark, _read(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "decided_by")
@@ -33,6 +53,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(spark, _read(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.train_and_identify(spark, _read(spark, sf_dir, "documents"))
 
@@ -51,7 +75,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_url_filter, op4_secret_scan, op5_packing, op7_language_id, op8_exact_dedup, op9_mixing, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_topk_search,
+        op2_html_extract,
+        op3_url_filter,
+        op4_secret_scan,
+        op5_packing,
+        op6_jaccard_join,
+        op7_language_id,
+        op8_exact_dedup,
+        op9_mixing,
+        op10_token_counts,
+    )
 }
 
 ORACLES: dict[str, str] = {}
