@@ -209,7 +209,7 @@ def vectorize_batch(
     files = discover(spark, directory, paths, recursive=recursive, limit=limit)
     root = (directory or "").rstrip("/")
     local = F.regexp_replace("path", r"^file:/+", "/")
-    below = F.ltrim(F.lit("/"), F.regexp_replace(local, "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in root.removeprefix("file:")), "")) if root else F.substring_index("path", "/", -1)
+    below = F.substring(local, len(root.removeprefix("file:")) + 2, 1 << 30) if root else F.substring_index("path", "/", -1)
     target = F.concat(F.lit((output or root).rstrip("/") + "/"), F.regexp_replace(below, r"\.[^./]*$", "." + extension(format)))
     tasks = files.select("id", F.col("path").alias("image_id"), target.alias("output_path"))
     skipped = None
