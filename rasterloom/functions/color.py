@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -59,34 +60,61 @@ def delta_e76(p: Column, q: Column) -> Column:
     return F.sqrt(sum(((p[k] - q[k]) * (p[k] - q[k]) for k in ("a", "b")), (p["L"] - q["L"]) * (p["L"] - q["L"])))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: Column expressions otherwise repeat what they share."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def delta_e2000(p: Column, q: Column) -> Column:
     """CIEDE2000 with unit weights (Sharma, Wu and Dalal, 2005)."""
-    chroma = lambda a, b: F.sqrt(a * a + b * b)
-    c7 = F.pow((chroma(p["a"], p["b"]) + chroma(q["a"], q["b"])) / 2, F.lit(7.0))
     k7 = 6103515625.0
-    g = 1 + 0.5 * (1 - F.sqrt(c7 / (c7 + k7)))
-    a1, a2 = g * p["a"], g * q["a"]
-    c1, c2 = chroma(a1, p["b"]), chroma(a2, q["b"])
+    chroma = lambda a, b: F.sqrt(a * a + b * b)
+    cos = lambda v: F.cos(F.radians(v))
 
     def hue(b: Column, a: Column) -> Column:
         h = F.degrees(F.atan2(b, a))
         return F.when((a == 0) & (b == 0), 0.0).when(h < 0, h + 360).otherwise(h)
 
-    h1, h2 = hue(p["b"], a1), hue(q["b"], a2)
-    grey = c1 * c2 == 0
-    d = h2 - h1
-    dh = F.when(grey, 0.0).when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
-    dl, dc, dbig = q["L"] - p["L"], c2 - c1, 2 * F.sqrt(c1 * c2) * F.sin(F.radians(dh) / 2)
-    lm, cm, total = (p["L"] + q["L"]) / 2, (c1 + c2) / 2, h1 + h2
-    hm = F.when(grey, total).when(F.abs(d) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
-    cos = lambda v: F.cos(F.radians(v))
-    t = 1 - 0.17 * cos(hm - 30) + 0.24 * cos(2 * hm) + 0.32 * cos(3 * hm + 6) - 0.2 * cos(4 * hm - 63)
-    l50 = (lm - 50) * (lm - 50)
-    sl, sc, sh = 1 + 0.015 * l50 / F.sqrt(20 + l50), 1 + 0.045 * cm, 1 + 0.015 * cm * t
-    cm7, bend = F.pow(cm, F.lit(7.0)), (hm - 275) / 25
-    turn = -2 * F.sqrt(cm7 / (cm7 + k7)) * F.sin(F.radians(60 * F.exp(-(bend * bend))))
-    a, b, c = dl / sl, dc / sc, dbig / sh
-    return F.sqrt(F.greatest(F.lit(0.0), a * a + b * b + c * c + turn * b * c))
+    def stretched(v: Column) -> Column:
+        c7 = F.pow((chroma(v["p"]["a"], v["p"]["b"]) + chroma(v["q"]["a"], v["q"]["b"])) / 2, F.lit(7.0))
+        g = 1 + 0.5 * (1 - F.sqrt(c7 / (c7 + k7)))
+        return let(
+            F.struct((g * v["p"]["a"]).alias("a1"), (g * v["q"]["a"]).alias("a2"), v["p"]["b"].alias("b1"), v["q"]["b"].alias("b2"), v["p"]["L"].alias("l1"), v["q"]["L"].alias("l2")), polar
+        )
+
+    def polar(v: Column) -> Column:
+        return let(
+            F.struct(
+                chroma(v["a1"], v["b1"]).alias("c1"), chroma(v["a2"], v["b2"]).alias("c2"), hue(v["b1"], v["a1"]).alias("h1"), hue(v["b2"], v["a2"]).alias("h2"),
+                (v["l2"] - v["l1"]).alias("dl"), ((v["l1"] + v["l2"]) / 2 - 50).alias("l50"),
+            ),
+            means,
+        )
+
+    def means(v: Column) -> Column:
+        grey, d, total = v["c1"] * v["c2"] == 0, v["h2"] - v["h1"], v["h1"] + v["h2"]
+        dh = F.when(grey, 0.0).when(d > 180, d - 360).when(d < -180, d + 360).otherwise(d)
+        hm = F.when(grey, total).when(F.abs(d) <= 180, total / 2).when(total < 360, (total + 360) / 2).otherwise((total - 360) / 2)
+        return let(
+            F.struct(
+                dh.alias("dh"), hm.alias("hm"), ((v["c1"] + v["c2"]) / 2).alias("cm"), (v["c2"] - v["c1"]).alias("dc"), F.sqrt(v["c1"] * v["c2"]).alias("cc"), v["dl"].alias("dl"), (v["l50"] * v["l50"]).alias("l2")
+            ),
+            weighted,
+        )
+
+    def weighted(v: Column) -> Column:
+        hm, cm7, bend = v["hm"], F.pow(v["cm"], F.lit(7.0)), (v["hm"] - 275) / 25
+        t = 1 - 0.17 * cos(hm - 30) + 0.24 * cos(2 * hm) + 0.32 * cos(3 * hm + 6) - 0.2 * cos(4 * hm - 63)
+        turn = -2 * F.sqrt(cm7 / (cm7 + k7)) * F.sin(F.radians(60 * F.exp(-(bend * bend))))
+        return let(
+            F.struct(
+                (v["dl"] / (1 + 0.015 * v["l2"] / F.sqrt(20 + v["l2"]))).alias("a"), (v["dc"] / (1 + 0.045 * v["cm"])).alias("b"),
+                (2 * v["cc"] * F.sin(F.radians(v["dh"]) / 2) / (1 + 0.015 * v["cm"] * t)).alias("c"), turn.alias("turn"),
+            ),
+            lambda w: F.sqrt(F.greatest(F.lit(0.0), w["a"] * w["a"] + w["b"] * w["b"] + w["c"] * w["c"] + w["turn"] * w["b"] * w["c"])),
+        )
+
+    return let(F.struct(p.alias("p"), q.alias("q")), stretched)
 
 
 def pack24(r: Column, g: Column, b: Column) -> Column:
