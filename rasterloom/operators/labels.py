@@ -8,18 +8,25 @@ and no self-join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rasterloom.session import ship_package
 
-ROW, COLUMN = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
+
+def along_row() -> WindowSpec:
+    return Window.partitionBy("image_id", "y").orderBy("x")
+
+
+def along_column() -> WindowSpec:
+    return Window.partitionBy("image_id", "x").orderBy("y")
+
 
 
 def runs(px: DataFrame) -> DataFrame:
     """``image_id, y, x0, x1, k, p0``: maximal runs of a label within a row (gaps and islands)."""
-    flagged = px.withColumn("start", (~F.lag("k").over(ROW).eqNullSafe(F.col("k"))).cast("int"))
-    numbered = flagged.withColumn("run", F.sum("start").over(ROW.rowsBetween(Window.unboundedPreceding, 0)))
+    flagged = px.withColumn("start", (~F.lag("k").over(along_row()).eqNullSafe(F.col("k"))).cast("int"))
+    numbered = flagged.withColumn("run", F.sum("start").over(along_row().rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("image_id", "y", "run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.first("k").alias("k"), F.min("p").alias("p0")).drop("run")
 
 
@@ -110,7 +117,7 @@ def with_roots(rooted: DataFrame) -> DataFrame:
 def sides(px: DataFrame, *columns: str) -> DataFrame:
     """A row for each pixel and existing 4-neighbour: ``side`` (0 left, 1 right, 2 up, 3 down), the neighbour's columns with ``n_``."""
     both = px.select("*", F.struct(*columns).alias("me"))
-    around = F.array(*(f("me").over(w) for w in (ROW, COLUMN) for f in (F.lag, F.lead)))
+    around = F.array(*(f("me").over(w) for w in (along_row(), along_column()) for f in (F.lag, F.lead)))
     both = both.select(*px.columns, around.alias("around"))
     out = both.select(*px.columns, F.posexplode("around").alias("side", "n")).where("n IS NOT NULL")
     return out.select(*px.columns, "side", *(F.col(f"n.{c}").alias(f"n_{c}") for c in columns))
@@ -171,7 +178,7 @@ def remove_backdrop(rooted: DataFrame, found: DataFrame, width: int, height: int
 def cracks(px: DataFrame, width: int, height: int, label: str = "k") -> DataFrame:
     """``image_id, x, y, kind, a, b``: lattice edges whose two cells differ (-1 outside): h from (x, y) east, v from (x, y) south."""
     c = F.col(label)
-    left, up = F.coalesce(F.lag(label).over(ROW), F.lit(-1)), F.coalesce(F.lag(label).over(COLUMN), F.lit(-1))
+    left, up = F.coalesce(F.lag(label).over(along_row()), F.lit(-1)), F.coalesce(F.lag(label).over(along_column()), F.lit(-1))
     edge = lambda kind, x, y, a, b: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))
     x, y, none = F.col("x"), F.col("y"), F.lit(-1)
     found = F.array(

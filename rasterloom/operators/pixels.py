@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import color
-from rasterloom.operators.labels import COLUMN, ROW, scatter
+from rasterloom.operators.labels import along_column, along_row, scatter
 
 
 def harden_alpha(px: DataFrame, least: int = 128) -> DataFrame:
@@ -76,7 +76,7 @@ def noise(px: DataFrame, width: int, height: int) -> DataFrame:
 def edges(px: DataFrame, step: int = 1) -> DataFrame:
     """``image_id, opaque, transparent, flat, soft, hard, colors``: transitions of the sampled pixels, by the larger of right and down."""
     c = F.struct("r", "g", "b")
-    right, down = F.lead(c).over(ROW), F.lead(c).over(COLUMN)
+    right, down = F.lead(c).over(along_row()), F.lead(c).over(along_column())
     jump = lambda n: F.coalesce(F.greatest(*(F.abs(F.col(k) - n[k]) for k in "rgb")), F.lit(0))
     seen = px.withColumn("right", right).withColumn("down", down).where(f"x % {step} = 0 AND y % {step} = 0").withColumn("d", F.greatest(jump(F.col("right")), jump(F.col("down"))))
     on = F.col("a") >= 128
