@@ -90,4 +90,84 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_OP1 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10"""
+
+
+def _rule_sql(host: str, path: str, column: int) -> str:
+    fits = [
+        f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, v)[column]}'"
+        for h, p, v in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))
+    ]
+    return "CASE " + " ".join(fits) + " END"
+
+
+_HOST = "translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+_KEY = f"{_HOST} || regexp_replace({_PATH}, '/+$', '')"
+_OP3 = rf"""
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_KEY.format('url', 'url')} AS key,
+  [regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b'))[1], '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+   regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)] AS links FROM u),
+t AS (SELECT key AS a, url, replace(unnest(links), '&amp;', '&') AS l FROM h WHERE contains(url, '://')),
+t2 AS (SELECT a, CASE WHEN l = '' THEN NULL WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN 'http:' || l WHEN starts_with(l, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || l END AS l FROM t),
+e AS (SELECT a, {_KEY.format('l', 'l')} AS b FROM t2 WHERE l IS NOT NULL), ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, root) AS (SELECT a, a FROM ee UNION SELECT ee.b, reach.root FROM reach JOIN ee ON ee.a = reach.a),
+comp AS (SELECT a AS key, min(root) AS root FROM reach GROUP BY a),
+kv AS (SELECT key, root, regexp_extract(key, '(?s)^([^/]*)', 1) AS kh, regexp_extract(key, '(?s)^[^/]*(.*)$', 1) AS kp FROM comp),
+judged AS (SELECT root, coalesce({_rule_sql('kh', 'kp', 1)}, {_rule_sql('kh', "(kp || '/')", 1)}) AS v FROM kv),
+best AS (SELECT root, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM judged GROUP BY root),
+r AS (SELECT page_id, host, path, key, {_rule_sql('host', 'path', 0)} AS rule, {_rule_sql('host', 'path', 1)} AS verdict FROM h)
+SELECT page_id, host, path, rule, coalesce(r.verdict, best.v, 'allow') AS verdict, CASE WHEN rule IS NOT NULL THEN 'rule' WHEN best.v IS NOT NULL THEN 'alias' ELSE 'default' END AS decided_by
+FROM r LEFT JOIN comp USING (key) LEFT JOIN best USING (root)"""
+
+_ANY_CASE = r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+_ASSIGN_SQL = _ANY_CASE + r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _matches_sql(kind: str, pattern: str, group: int) -> str:
+    return (
+        f"SELECT rid, '{kind}' AS kind, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS whole, unnest(v) AS val, unnest(list_slice(g, 1, len(w))) AS gap FROM "
+        f"(SELECT rid, regexp_extract_all(t, '{pattern}') AS w, regexp_extract_all(t, '{pattern}', {group}) AS v, string_split_regex(t, '{pattern}') AS g FROM d)"
+    )
+
+
+_OP4 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, chr(0)) AS own, coalesce(CAST(doc_id AS VARCHAR), chr(0)) AS repo FROM documents),
+m AS ({_matches_sql('assign', _ASSIGN_SQL, 2)} UNION ALL {_matches_sql('access', secret_scan.ACCESS, 0)} UNION ALL {_matches_sql('hex', secret_scan.HEX, 0)} UNION ALL {_matches_sql('owned', secret_scan.BARE, 0)}),
+s AS (SELECT *, CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop FROM m),
+p AS (SELECT rid, kind, stop - length(whole) AS start, stop, val FROM s),
+base AS (SELECT * FROM p WHERE kind <> 'owned' AND (kind <> 'assign' OR length(val) >= {secret_scan.ASSIGN_MIN})),
+bare AS (SELECT * FROM p WHERE kind = 'owned' AND length(val) <= 256 AND length(regexp_replace(val, '[^A-Za-z]', '', 'g')) >= 4 AND length(regexp_replace(val, '[^0-9]', '', 'g')) >= 4
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = p.rid AND b.start < p.stop AND p.start < b.stop)),
+c AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+o AS (SELECT val, count(DISTINCT own) AS owners, count(DISTINCT repo) AS repos FROM c JOIN d USING (rid) GROUP BY val),
+j AS (SELECT c.*, owners < 2 AND repos < 10 AS live, CASE kind WHEN 'assign' THEN 1 WHEN 'access' THEN 2 WHEN 'hex' THEN 3 ELSE 4 END AS k FROM c JOIN o USING (val)),
+a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) FILTER (k < 4) AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) FILTER (k < 4 OR live) AS al,
+  count(*) FILTER (k < 4 AND live) AS n_live, count(*) FILTER (k < 4 AND NOT live) AS n_example FROM j GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(al, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN a USING (rid)"""
+
+_OP8 = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+w AS (SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w"""
+
+_OP9 = """
+WITH s AS (SELECT source, count(*) AS n, sqrt(count(*)) AS share FROM documents GROUP BY source),
+r AS (SELECT source, (SELECT sum(n) FROM s) * share / (SELECT sum(share) FROM s) / n AS m FROM s),
+k AS (SELECT source, m, unnest(range(0, CAST(ceil(m + 12 * sqrt(m) + 24) AS BIGINT) + 1)) AS k FROM r),
+c AS (SELECT source, m, k, sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
+d AS (SELECT *, CAST('0x' || left(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':1'), 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
+t AS (SELECT d.*, m, (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM d.source AND c.cdf <= d.u) AS times FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, text, lang, source, n_chars, round(m, 6) AS mix_rate, CAST(replica AS INT) AS replica, md5(concat_ws(':', 'order17', doc_id, replica)) AS shuffle_key
+FROM (SELECT *, unnest(range(1, times + 1)) AS replica FROM t)"""
+
+#: The others need a tokenizer, an HTML parser, profiles or similarities, and are tested against brute force.
+ORACLES: dict[str, str] = {"op1_topk_search": _OP1, "op3_url_filter": _OP3, "op4_secret_scan": _OP4, "op8_exact_dedup": _OP8, "op9_mixing": _OP9}
