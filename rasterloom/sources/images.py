@@ -13,7 +13,6 @@ from rasterloom.session import ship_package
 EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".gif")
 MOST_BYTES, MOST_PIXELS, MOST_FILES = 64 * 1024 * 1024, 40_000_000, 500
 
-IMAGES = "image_id string, origin string, format string, byte_length bigint, width int, height int, channels int, data binary, reason string"
 PIXELS = "image_id string, p bigint, x int, y int, r int, g int, b int, a int"
 
 
@@ -31,6 +30,73 @@ def discover(spark: SparkSession, directory: str | None = None, paths: Sequence[
     return files.selectExpr("row_number() over (order by path) - 1 AS id", "path", "byte_length")
 
 
+def exif_orientation(content: bytes) -> int:
+    """The orientation (1 to 8) that a JPEG's head asks for; 1 where there is none."""
+    import struct
+
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] != 0xDA:
+        size = int.from_bytes(content[at + 2 : at + 4], "big")
+        part = content[at + 4 : at + 2 + size]
+        if content[at + 1] == 0xE1 and part[:6] == b"Exif\0\0" and part[6:8] in (b"II", b"MM"):
+            order, tiff = "<" if part[6:8] == b"II" else ">", part[6:]
+            try:
+                (start,) = struct.unpack_from(order + "I", tiff, 4)
+                (n,) = struct.unpack_from(order + "H", tiff, start)
+                for i in range(n):
+                    tag, _, _, value = struct.unpack_from(order + "HHIH", tiff, start + 2 + 12 * i)
+                    if tag == 0x0112:
+                        return value if 1 <= value <= 8 else 1
+            except struct.error:
+                return 1
+        at += 2 + size
+    return 1
+
+
+def turned(a, orientation: int):
+    """An (h, w, c) array as its orientation asks for."""
+    if orientation in (5, 6, 7, 8):
+        a = a.transpose(1, 0, 2)
+    if orientation in (2, 3, 6, 7):
+        a = a[:, ::-1]
+    if orientation in (3, 4, 7, 8):
+        a = a[::-1]
+    return a
+
+
+def upright(spark: SparkSession, images: DataFrame, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
+    """``images`` of ``path`` with those JPEGs turned whose head asks for it: the codec leaves them as they are stored.
+
+    Only the heads of JPEGs are read again, and only images to be turned pass through Python.
+    """
+    ship_package(spark)
+
+    def heads(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([exif_orientation(c.as_py()) for c in b.column(1)], pa.int32())], ["image_id", "orientation"])
+
+    def turn(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            rows = b.to_pylist()
+            for r in rows:
+                a = turned(np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["channels"]), r.pop("orientation"))
+                r["height"], r["width"], r["data"] = a.shape[0], a.shape[1], a.tobytes()
+            yield pa.RecordBatch.from_pylist(rows, schema=b.schema.remove(b.schema.get_field_index("orientation")))
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path if isinstance(path, str) else list(path))
+    jpegs = files.where(F.lower("path").rlike(r"\.jpe?g$")).select("path", F.substring("content", 1, 65536).alias("head"))
+    asked = jpegs.mapInArrow(heads, "image_id string, orientation int").where("orientation > 1")
+    key = F.regexp_replace("image_id", "^file:/+", "file:/")
+    both = images.withColumn("key", key).join(asked.select(key.alias("key"), "orientation"), "key", "left").drop("key")
+    odd = both.where("orientation IS NOT NULL AND data IS NOT NULL").mapInArrow(turn, images.schema)
+    return both.where("orientation IS NULL OR data IS NULL").drop("orientation").unionByName(odd)
+
+
 def read_images(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
     """One row for each file; what can't be decoded, is empty or is too large has a ``reason`` and no data."""
     rows = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).load(path if isinstance(path, str) else list(path))

@@ -105,3 +105,66 @@ def test_sql_functions(spark):
     assert "rl_hex" in names
     row = spark.sql("SELECT rl_hex(230, 57, 70) h, rl_luma(255, 255, 255) l, rl_epsilon(100) e, round(rl_luminance(255, 255, 255), 6) m").first()
     assert (row["h"], row["l"], row["e"], row["m"]) == ("#e63946", 255.0, 0.0, 1.0)
+
+
+def test_orientation_of_jpeg_heads():
+    from rasterloom.sources.images import exif_orientation, turned
+    import numpy as np
+    import struct
+
+    def head(order, value):
+        tiff = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "IHHHIHHI", 8, 1, 0x0112, 3, 1, value, 0, 0)
+        body = b"Exif\0\0" + tiff
+        return b"\xff\xd8\xff\xe0\x00\x04ab\xff\xe1" + struct.pack(">H", len(body) + 2) + body + b"\xff\xda"
+
+    assert [exif_orientation(head(o, v)) for o in "<>" for v in (1, 6, 8)] == [1, 6, 8] * 2
+    assert exif_orientation(b"") == exif_orientation(b"\x89PNG") == exif_orientation(head("<", 6)[:20]) == exif_orientation(head("<", 99)) == 1
+    a = np.arange(24).reshape(2, 3, 4)
+    assert turned(a, 6).shape == (3, 2, 4) and (turned(a, 6)[0, -1] == a[0, 0]).all() and (turned(turned(a, 6), 8) == a).all() and (turned(a, 3) == a[::-1, ::-1]).all()
+
+
+def test_saved_presets(spark):
+    import json
+
+    from rasterloom.operators import presets
+
+    good = {"id": "custom:a", "label": "  Mine ", "options": {"maxColors": 999, "detail": "x", "background": "auto", "strokeMode": "nope", "smoothing": 12.5}, "createdAt": 5}
+    bad = [{"id": "a", "label": "x", "options": {"detail": 1}}, {"id": "custom:b", "label": " ", "options": {"detail": 1}}, {"id": "custom:c", "label": "x", "options": {}}, 7, None]
+    rows = [("u", json.dumps([good, *bad])), ("v", "{nope"), ("w", '{"a": 1}'), ("x", None), ("y", json.dumps([good | {"id": f"custom:{i}"} for i in range(30)]))]
+    got = presets.load(spark.createDataFrame(rows, "user string, json string"), "json", "user").orderBy("user", "position").collect()
+    assert [r["user"] for r in got].count("y") == 24 and {r["user"] for r in got} == {"u", "y"}
+    o = got[0]["options"]
+    assert (got[0]["label"], o["maxColors"], o["detail"], o["background"], o["strokeMode"], o["smoothing"], got[0]["created_at"]) == ("Mine", 256.0, None, "auto", None, 12.5, 5)
+    df = presets.load(spark.createDataFrame(rows[:1], "user string, json string")).drop("position")
+    assert df.select(presets.describe(F.col("options")).alias("d")).first()["d"] == "256 colors · smoothing 12.5 · background auto"
+    new = df.withColumn("id", F.lit("custom:z")).withColumn("label", F.lit("mine")).withColumn("created_at", F.lit(9).cast("bigint"))
+    saved = presets.save(df, new).collect()
+    assert [(r["id"], r["label"]) for r in saved] == [("custom:z", "mine 2"), ("custom:a", "Mine")]
+    assert presets.delete(presets.save(df, new), df.select("id")).count() == 1
+
+
+def test_reports(spark, folder, tmp_path):
+    from rasterloom.plans import report
+
+    assert report.presets(spark).count() == 8
+    results = studio.vectorize_batch(spark, folder, str(tmp_path / "o"), dry_run=True)
+    text = report.batch_summary(results, folder, 1000.0)
+    assert "converted: 2   skipped: 1   failed: 1" in text and "a.png" in text and "Failed (1):" in text
+    traced = studio.vectorize(read_images(spark, f"{folder}/a.png"))
+    assert [r["hex"] for r in report.layers_report(traced).collect()] == ["#e63946", "#0000c8"]
+    assert '"content":"<svg' in report.answers(traced, "svg").first()["answer"] and '"content"' not in report.answers(traced, "svg", 10).first()["answer"]
+
+
+def test_session():
+    from rasterloom.plans.session import Studio
+
+    s = Studio()
+    assert s.trace()["type"] == "error" and s.export()["type"] == "error"
+    a = rect(rect(blank(200, 200), 20, 20, 80, 80, (230, 57, 70)), 120, 120, 60, 60, (200, 57, 70))
+    assert s.load(a)["type"] == "loaded"
+    first = s.trace("logo", color_merge_threshold=0.0)
+    assert (first["colors"], first["pieces"]) == (2, 2)
+    merged = s.edit([("#e63946", ["#c83946"])])
+    assert (merged["colors"], merged["pieces"], merged["nodes"]) == (1, 2, first["nodes"])
+    assert s.edit([("#e63946", ["#c83946"])], exact=True)["colors"] == 1 and s.export("svg")["body"].startswith(b"<svg")
+    assert s.edit(remove=["#c83946"])["pieces"] == 1 and s.load(a[:0])["type"] == "error" and s.reset() == {"type": "reset"}
