@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.llm.shared import Scratch
 from rasterloom.session import ship_package
 
 #: Lengths that share one row of the coarse level of the suffix sums.
-COARSE = 1024
+COARSE = 64
 
 
 def length_counts(docs: DataFrame, text: str = "text", extra: int = 0, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
@@ -34,7 +35,8 @@ def length_counts(docs: DataFrame, text: str = "text", extra: int = 0, tokenizer
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "docs"])
 
     one = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "length bigint, docs bigint")
-    return one.groupBy("length").agg(F.sum("docs").alias("docs"))
+    # Written once: the texts are not encoded again for each use of the counts.
+    return Scratch(docs.sparkSession, "lengths").save(one.groupBy("length").agg(F.sum("docs").alias("docs")))
 
 
 def context_table(counts: DataFrame, coarse: int = COARSE) -> DataFrame:
