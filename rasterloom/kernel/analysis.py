@@ -25,14 +25,15 @@ def measure(rgba: np.ndarray) -> dict:
     if not h or not w:
         raise ValueError("the image is empty")
     step = 3 if w * h > 1_500_000 else 2 if w * h > 400_000 else 1
-    c = rgba[..., :3].astype(np.int16)
-    jump = np.zeros((h, w), np.int16)
-    jump[:, :-1] = np.abs(c[:, 1:] - c[:, :-1]).max(axis=2)
-    jump[:-1] = np.maximum(jump[:-1], np.abs(c[1:] - c[:-1]).max(axis=2))
+    jump = np.zeros((h, w), np.uint8)
+    for i in range(3):
+        c = np.ascontiguousarray(rgba[..., i])
+        for at, one, two in ((jump[:, :-1], c[:, 1:], c[:, :-1]), (jump[:-1], c[1:], c[:-1])):
+            np.maximum(at, np.maximum(one, two) - np.minimum(one, two), out=at)
     opaque = rgba[::step, ::step, 3] >= OPAQUE
-    jump, c = jump[::step, ::step][opaque], c[::step, ::step][opaque].astype(np.int64)
+    jump, c = jump[::step, ::step][opaque], rgba[::step, ::step, :3][opaque].astype(np.int32)
     n, sampled = max(1, len(jump)), opaque.size
-    colours = len(np.unique(c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]))
+    colours = int(np.bincount(c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2], minlength=1).astype(bool).sum()) if len(c) > 1 << 20 else len(np.unique(c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]))
     return {
         "transparent": 1 - len(jump) / sampled, "colours": min(colours, MOST_COLOURS), "capped": colours >= MOST_COLOURS,
         "flat": (jump == 0).sum() / n, "soft": ((jump > 0) & (jump <= SOFT)).sum() / n, "hard": (jump >= HARD).sum() / n, "noise": noise(rgba),

@@ -60,24 +60,44 @@ def median(rgba: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
+def _row3(op, plane: np.ndarray) -> np.ndarray:
+    """The extreme of three neighbours in each row, for inner columns."""
+    return op(op(plane[:, :-2], plane[:, 1:-1]), plane[:, 2:])
+
+
+def _around(op, plane: np.ndarray) -> np.ndarray:
+    """The extreme of each inner pixel's 3x3 window."""
+    rows = _row3(op, plane)
+    return op(op(rows[:-2], rows[1:-1]), rows[2:])
+
+
 def noise(rgba: np.ndarray) -> float:
     """How noisy flat areas are and how often pixels overshoot their neighbours, 0 to 1."""
     h, w = rgba.shape[:2]
     if w < 3 or h < 3:
         return 0.0
     step = 2 if w * h > 500_000 else 1
-    cells = [rgba[1 + dy : h - 1 + dy, 1 + dx : w - 1 + dx][::step, ::step].astype(np.int64) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    stack = np.stack(cells)
-    usable = (stack[..., 3] >= 250).all(axis=0)
+    thin = lambda plane: plane[::step, ::step]
+    usable = thin(_around(np.minimum, rgba[..., 3]) >= 250)
     if not usable.any():
         return 0.0
-    luma = 0.299 * stack[..., 0] + 0.587 * stack[..., 1] + 0.114 * stack[..., 2]
-    ring = np.delete(luma, 4, axis=0)
-    over = usable & ((luma[4] > ring.max(axis=0) + 4) | (luma[4] < ring.min(axis=0) - 4))
-    flat = usable & (stack[..., :3].max(axis=(0, 3)) - stack[..., :3].min(axis=(0, 3)) <= 24)
-    row = stack[3:6, ..., :3]
-    deviation = np.abs(row[1] - np.sort(row, axis=0)[1]).sum(axis=2)
-    signal = deviation[flat].sum() / (3 * flat.sum()) / 12 if flat.any() else 0.0
+    r, g, b = (np.ascontiguousarray(rgba[..., i]) for i in range(3))
+    spread = _around(np.maximum, np.maximum(np.maximum(r, g), b)) - _around(np.minimum, np.minimum(np.minimum(r, g), b))
+    flat = usable & (thin(spread) <= 24)
+    luma = 299 * r.astype(np.int32) + 587 * g.astype(np.int32) + 114 * b.astype(np.int32)  # in thousandths, exactly
+    inner = luma[1:-1, 1:-1]
+
+    def ring(op) -> np.ndarray:
+        rows = _row3(op, luma)
+        return op(op(rows[:-2], rows[2:]), op(luma[1:-1, :-2], luma[1:-1, 2:]))
+
+    over = usable & thin((inner > ring(np.maximum) + 4000) | (inner < ring(np.minimum) - 4000))
+    deviation = 0
+    for c in (r, g, b):
+        left, here, right = (thin(c[1:-1, i : i + w - 2])[flat].astype(np.int16) for i in range(3))
+        low, high = np.minimum(left, right), np.maximum(left, right)
+        deviation += int(np.abs(here - np.clip(here, low, high)).sum(dtype=np.int64))
+    signal = deviation / (3 * int(flat.sum())) / 12 if flat.any() else 0.0
     return float(min(1.0, max(signal / 0.02, over.sum() / usable.sum() / 0.006)))
 
 

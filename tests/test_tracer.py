@@ -237,3 +237,29 @@ def test_photographs_are_refused():
     clean = analyze(disc(blank(300, 300), 150, 150, 110, BLUE))
     assert clean["noise_estimate"] == 0 and clean["suitability"] == "excellent"
     assert any("Low" in m or "Only 40" in m for _, m in analyze(disc(blank(40, 40, (255, 255, 255, 255)), 20, 20, 12, BLUE))["findings"])
+
+
+def test_noise_against_the_plain_definition():
+    from rasterloom.kernel.conditioning import noise
+
+    rng = np.random.default_rng(7)
+    for spread in (3, 30, 255):
+        a = rng.integers(0, spread + 1, (20, 24, 4)).astype(np.uint8)
+        a[..., 3] = np.where(rng.random((20, 24)) < 0.03, 0, 255)
+        dev = samples = over = seen = 0
+        luma = lambda p: 299 * int(p[0]) + 587 * int(p[1]) + 114 * int(p[2])
+        for y in range(1, 19):
+            for x in range(1, 23):
+                cells = a[y - 1 : y + 2, x - 1 : x + 2].reshape(9, 4)
+                if (cells[:, 3] < 250).any():
+                    continue
+                seen += 1
+                ring = [luma(c) for i, c in enumerate(cells) if i != 4]
+                over += luma(cells[4]) > max(ring) + 4000 or luma(cells[4]) < min(ring) - 4000
+                if int(cells[:, :3].max()) - int(cells[:, :3].min()) <= 24:
+                    for c in range(3):
+                        row = [int(v) for v in a[y, x - 1 : x + 2, c]]
+                        dev += abs(row[1] - sorted(row)[1])
+                        samples += 1
+        want = min(1, max((dev / samples / 12 if samples else 0) / 0.02, over / seen / 0.006))
+        assert abs(noise(a) - want) < 1e-12
