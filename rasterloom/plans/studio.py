@@ -63,14 +63,17 @@ def layer_rows(traced) -> list[dict]:
     return out
 
 
-def _per_image(images: DataFrame, one: Callable, schema: str, extra: Sequence[str] = ()) -> DataFrame:
-    """``one(pixels, row)`` gives the rows of an image as dicts; what it raises becomes a row with status ``failed``."""
-    ship_package(images.sparkSession)
-    names = ["image_id", "width", "height", "channels", "data", "reason", *extra]
+def _per_image(images: DataFrame, one: Callable, schema: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``one(pixels, row)`` gives the rows of an image as dicts; what it raises becomes a row with status ``failed``.
+
+    The columns ``keep`` of the image are passed on with each of its rows.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string  # noqa: F401
+    from pyspark.sql.types import StructType
 
-    spark_schema = _parse_datatype_string(schema)
+    ship_package(images.sparkSession)
+    names = ["image_id", "width", "height", "channels", "data", "reason", *keep]
+    spark_schema = StructType([*images.select(*keep).schema.fields, *StructType.fromDDL(schema).fields])
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -86,7 +89,8 @@ def _per_image(images: DataFrame, one: Callable, schema: str, extra: Sequence[st
                 except Exception as e:  # one bad image fails alone
                     got = [{"status": "failed", "reason": str(e) or type(e).__name__}]
                 taken = (time.perf_counter() - begun) * 1000
-                full = [{n: None for n in arrow.names} | {"image_id": row["image_id"], "elapsed_ms": taken} | g for g in got]
+                given = {"image_id": row["image_id"], "elapsed_ms": taken} | {k: row[k] for k in keep}
+                full = [{n: None for n in arrow.names} | given | g for g in got]
                 yield pa.RecordBatch.from_pylist([{n: g[n] for n in arrow.names} for g in full], schema=arrow)
 
     return images.select(*names).mapInArrow(rows, spark_schema)
@@ -128,8 +132,8 @@ def trace_with(pixels, preset: str, overrides: dict):
     return trace(pixels, resolve(used, overrides, a["recommended"] if preset == "auto" else None)), a, used
 
 
-def vectorize(images: DataFrame, preset: str = "auto", overrides: dict | None = None, format: str | None = "svg", layers: bool = True, min_score: int = 0, output: dict | None = None) -> DataFrame:
-    """Trace every image. Images that score under ``min_score`` are skipped before the trace, with a reason."""
+def vectorize(images: DataFrame, preset: str = "auto", overrides: dict | None = None, format: str | None = "svg", layers: bool = True, min_score: int = 0, output: dict | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Trace every image. Images that score under ``min_score`` are skipped before the trace, with a reason; columns ``keep`` are passed on."""
     given = dict(overrides or {})
     resolve("logo" if preset == "auto" else preset, given).clamped()  # wrong settings fail here, not on the executors
 
@@ -142,7 +146,7 @@ def vectorize(images: DataFrame, preset: str = "auto", overrides: dict | None =
         traced, a, used = trace_with(pixels, preset, given)
         return [_traced_row(traced, a, used, layers, format, output or {})]
 
-    return _per_image(images, one, RESULT)
+    return _per_image(images, one, RESULT, keep)
 
 
 def compare_presets(images: DataFrame, presets: Sequence[str] = tuple(PRESETS)) -> DataFrame:
@@ -223,9 +227,10 @@ def vectorize_batch(
                 raise
     images = read_images(spark, directory if directory is not None else list(paths), recursive)
     same = F.regexp_replace("image_id", r"^file:/+", "/")
-    todo = images.withColumn("key", same).join(tasks.select(same.alias("key"), "id", "output_path"), "key")
-    done = vectorize(todo, preset, overrides, format, layers=False, min_score=min_score)
-    result = done.withColumn("key", same).join(todo.select("key", "id", "output_path"), "key").drop("key", "layers", "traced_width", "traced_height", "palette")
+    # A batch has at most 500 tasks, so they can be broadcast.
+    todo = images.withColumn("key", same).join(F.broadcast(tasks.select(same.alias("key"), "id", "output_path")), "key")
+    done = vectorize(todo, preset, overrides, format, layers=False, min_score=min_score, keep=("id", "output_path"))
+    result = done.drop("layers", "traced_width", "traced_height", "palette")
     if not dry_run:
         result = write_outputs(result)
     result = result.drop("output")
