@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import color, text
 from rasterloom.kernel.color import GREYS, HUES, KNEE, TO_XYZ, WHITE
-from rasterloom.operators import editing, geometry, labels, pixels
+from rasterloom.operators import editing, geometry, labels, pixels, tracing
 from rasterloom.plans.options import DEFAULT_PRESET, PRESETS
 from rasterloom.sinks.dxf import ACI
 from rasterloom.sources import virtual
@@ -403,6 +403,50 @@ def boundary_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.vertices(labels.cracks(virtual.art(spark, sf_dir), WIDTH, _height(spark, sf_dir))).drop("image_id")
 
 
+@query(
+    f"""WITH RECURSIVE {virtual.ART_SQL}, {_regions_sql('art')}, o AS (SELECT CAST(row_number() OVER (ORDER BY root) - 1 AS INT) AS region_id, * FROM reg)
+    SELECT region_id, k, CAST(area AS DOUBLE) AS signed_area, CAST(1 AS BIGINT) AS outlines FROM o WHERE k >= 0"""
+)
+def loop_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundary loops of every region: one outline each, and signed areas that add up to the region's pixels."""
+    found = tracing.loops(virtual.art(spark, sf_dir))
+    return found.groupBy("region_id", "k").agg(F.sum("signed_area").alias("signed_area"), F.count_if(~F.col("is_hole")).alias("outlines"))
+
+
+@query(
+    f"""WITH {virtual.ART_SQL}, i AS (SELECT x, y FROM art WHERE k = 2), o AS (SELECT x, y FROM art WHERE k <> 2)
+    SELECT i.x, i.y, CAST(min((i.x-o.x)*(i.x-o.x)+(i.y-o.y)*(i.y-o.y)) AS DOUBLE) AS distance_squared FROM i, o GROUP BY i.x, i.y"""
+)
+def distance_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact squared distances inside the bars."""
+    return tracing.distance_field(virtual.art(spark, sf_dir), 2).drop("image_id")
+
+
+@query()
+def fitted_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains fitted once and joined to both regions that share them."""
+    px = virtual.art(spark, sf_dir)
+    return tracing.loop_nodes(tracing.loops(px), tracing.fit_chains(tracing.chains(px))).drop("image_id")
+
+
+@query()
+def skeleton_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centre lines of the bars."""
+    b = tracing.skeleton(virtual.art(spark, sf_dir), 2)
+    return b.select("branch_id", F.size("points").alias("points"), "closed", "free_ends", F.round("length", 6).alias("length"))
+
+
+@query(
+    f"""WITH {virtual.COLORS_SQL}, u AS (SELECT CAST((r*7+g*3) % 256 AS INT) AS idx, r % 5 AS n FROM c), t AS (SELECT idx, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS cnt FROM u GROUP BY idx)
+    SELECT idx, cnt, CAST(row_number() OVER (ORDER BY idx) - 1 AS INT) AS dense FROM t WHERE cnt > 0"""
+)
+def prune_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Palette rows without pixels dropped, the rest numbered densely."""
+    u = virtual.colors(spark, sf_dir).selectExpr("CAST((r*7+g*3) % 256 AS INT) AS idx", "r % 5 AS n")
+    t = u.groupBy("idx").agg(F.count_if(F.col("n") == 0).alias("cnt")).where("cnt > 0")
+    return t.selectExpr("idx", "cnt", "CAST(row_number() OVER (ORDER BY idx) - 1 AS INT) AS dense")
+
+
 _AROUND = f"""WITH {virtual.POINTS_SQL}, w AS (SELECT *, count(*) OVER (PARTITION BY line_id) AS n, max(i) OVER (PARTITION BY line_id) AS li,
     coalesce(lag(x) OVER o, last_value(x) OVER f) AS px_, coalesce(lag(y) OVER o, last_value(y) OVER f) AS py_, coalesce(lead(x) OVER o, first_value(x) OVER f) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER f) AS ny
     FROM pts WINDOW o AS (PARTITION BY line_id ORDER BY i), f AS (PARTITION BY line_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
