@@ -12,9 +12,10 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.components import connected_components
@@ -24,8 +25,11 @@ from rasterloom.session import ship_package
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDINATES = 128
 BUCKET = 48  #: sets that are compared with each other at once
-START, DEEPEST = 2, 9  #: splits before buckets are looked at, and before those that stay large count as dense
-LEADERS = 3  #: sets that each member of a dense bucket is compared with, a run
+BLOCK, COLUMNS = 256, 8192  #: sets of a block, and shingles counted at once, where the rest of dense groups is compared
+START, STAR, DEEPEST = 2, 3, 12  #: splits before buckets are looked at, before dense ones are left, and at most
+PROBES, DENSE = 6, 0.5  #: random members that leaders are chosen by, and the share near a leader that makes a bucket dense
+
+ROWS = 2000  #: rows that Python holds at once
 
 _U = np.uint64
 _WORD = re.compile(r"\w+")
@@ -44,7 +48,7 @@ class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -92,7 +96,7 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)[:, :16].copy().view(np.int64)
 
 
-def runs_for(recall: float, depth: int = START) -> int:
+def runs_for(recall: float, depth: int = STAR) -> int:
     """Runs until a pair at the threshold is missed with probability below 1 - recall.
 
     A pair survives one split with the probability that at least one of about Poisson(1) children
@@ -128,8 +132,8 @@ def _set_rows(words: int):
         import xxhash
 
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
                 keys, sids, counts, sigs, sets = [], [], [], [], []
                 for t in part.column(1):
                     s = shingle_set(t.as_py(), words)
@@ -151,16 +155,15 @@ def _set_rows(words: int):
 
 
 _ENTRY = "key bigint, sid bigint, s1 bigint, s2 bigint"
+_FIELDS = ("key", "sid", "s1", "s2")
 
 
 def _first_entries(runs: int, threshold: float):
     def entries(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             sids = b.column(0).to_numpy()
-            if not len(sids):
-                continue
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(len(sids), -1)
             bits = sketches(sig)
             for run in range(runs):
@@ -171,31 +174,30 @@ def _first_entries(runs: int, threshold: float):
                     for _ in range(START - 1):
                         more, keys = _children(keys, sig[at], threshold)
                         at = at[more]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sids[at]), pa.array(bits[at, 0]), pa.array(bits[at, 1])], ["key", "sid", "s1", "s2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sids[at]), pa.array(bits[at, 0]), pa.array(bits[at, 1])], list(_FIELDS))
 
     return entries
 
 
-def _next_entries(threshold: float):
+def _next_entries(threshold: float, splits: int):
     def entries(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             sig = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint32).reshape(b.num_rows, -1)
-            rows, keys = _children(b.column(0).to_numpy().view(_U), sig, threshold)
+            rows, keys = np.arange(b.num_rows), b.column(0).to_numpy().view(_U)
+            for _ in range(splits):
+                more, keys = _children(keys, sig[rows], threshold)
+                rows = rows[more]
             take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(b.column(i).take(take) for i in (1, 2, 3))], ["key", "sid", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(b.column(i).take(take) for i in (1, 2, 3))], list(_FIELDS))
 
     return entries
 
 
-def _near(x1: np.ndarray, x2: np.ndarray, threshold: float, n: int = COORDINATES) -> np.ndarray:
-    """Whether sketches differ in few enough bits: a pair at the threshold differs in (1 - threshold) / 2 of them, plus 5 deviations."""
-    p = (1 - threshold) / 2
-    most = p * n + 5 * math.sqrt(p * (1 - p) * n)
-    return np.bitwise_count(x1.view(_U)) + np.bitwise_count(x2.view(_U)) <= most
+def _near(x1: np.ndarray, x2: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sketches differ in few enough bits, five deviations allowed."""
+    return np.bitwise_count(x1.view(_U)).astype(np.int64) + np.bitwise_count(x2.view(_U)) <= _most_bits(threshold, 5)
 
 
 def _bucket_pairs(threshold: float, limit: int):
@@ -239,7 +241,7 @@ def _check(threshold: float):
     def check(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             a, c, na, nc, sa, sc = b.columns
             keep = []
             for i, (m, n, x, y) in enumerate(zip(na.to_pylist(), nc.to_pylist(), sa, sc)):
@@ -256,33 +258,180 @@ def _check(threshold: float):
     return check
 
 
-def similar_sets(spark: SparkSession, sets: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
-    """Candidate pairs ``(a, b)``, a < b, from ``sets(sid, sig)``: the chosen-path runs."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = scratch.save(sets.mapInArrow(_first_entries(runs_for(recall), threshold), _ENTRY))
-    found = None
-    for depth in range(START, DEEPEST + 1):
+def _differ(a: Column, b: Column) -> Column:
+    """In how many bits two sketches differ."""
+    return F.bit_count(a["s1"].bitwiseXOR(b["s1"])) + F.bit_count(a["s2"].bitwiseXOR(b["s2"]))
+
+
+def _most_bits(threshold: float, deviations: float, n: int = COORDINATES) -> int:
+    """Bits in which a pair at the threshold differs, (1 - threshold) / 2 of them, and so many deviations more."""
+    p = (1 - threshold) / 2
+    return int(p * n + deviations * math.sqrt(p * (1 - p) * n))
+
+
+def _stars(large: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For buckets too large to compare: pairs of members with leaders, members of dense buckets (``sid, lead``), and the entries of others.
+
+    Leaders are the member with the least total distance to a few random members (close to the
+    medoid, so a group of copies of one text meets that text) and two of the random ones. Random
+    orders don't depend on the bucket, so that buckets of one group share leaders. A bucket is dense
+    if most members are near its first leader.
+    """
+    entry = F.struct("sid", "s1", "s2")
+    probes = [F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("o"), entry.alias("e"))).alias(f"p{i}") for i in range(PROBES)]
+    probes = scratch.save(large.groupBy("key").agg(*probes))
+    met = large.select("key", entry.alias("e")).join(probes, "key")
+    total = sum((_differ(F.col("e"), F.col(f"p{i}.e")) for i in range(1, PROBES)), _differ(F.col("e"), F.col("p0.e")))
+    medoids = met.groupBy("key").agg(F.min(F.struct(total.alias("t"), F.col("e"))).alias("m"))
+    leaders = scratch.save(medoids.join(probes, "key").select("key", F.array("m.e", "p0.e", "p1.e").alias("leaders")))
+    near = lambda l, most: _differ(entry, l) <= most
+    members = large.join(leaders, "key").select(
+        *_FIELDS,
+        F.transform("leaders", lambda l: near(l, _most_bits(threshold, 5))).alias("near"),
+        F.transform("leaders", lambda l: l["sid"]).alias("lead"),
+        near(F.col("leaders")[0], _most_bits(threshold, 1)).alias("close"),
+    )
+    members = scratch.save(members)
+    met = F.explode(F.filter(F.arrays_zip("near", "lead"), lambda z: z["near"] & (z["lead"] != F.col("sid"))))
+    pairs = members.select("sid", met.alias("z")).select(F.least("sid", "z.lead").alias("a"), F.greatest("sid", "z.lead").alias("b"))
+    dense = scratch.save(members.groupBy("key").agg(F.avg(F.col("close").cast("double")).alias("share")).where(F.col("share") >= DENSE).select("key"))
+    thick = members.join(dense, "key", "left_semi").select("sid", F.col("lead")[0].alias("lead"))
+    return pairs.distinct(), thick.distinct(), members.join(dense, "key", "left_anti").select(*_FIELDS)
+
+
+class _Search:
+    """The recursion over one corpus of sets."""
+
+    def __init__(self, spark: SparkSession, sets: DataFrame, scratch: Scratch, threshold: float, bucket: int):
+        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.sets, self.scratch, self.threshold, self.bucket = sets, scratch, threshold, bucket
+
+    def split(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs within small buckets, and the entries of large ones."""
         sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        sized = scratch.save(entries.join(sizes, "key"))
-        scratch.drop(entries)
-        small = sized.where(F.col("size") <= bucket).select("key", "sid", "s1", "s2")
-        ordered = small.repartition(n, "key").sortWithinPartitions("key")
-        got = scratch.save(ordered.mapInArrow(_bucket_pairs(threshold, bucket), "a bigint, b bigint").distinct())
-        found = got if found is None else found.unionByName(got)
-        large = sized.where(F.col("size") > bucket).select("key", "sid", "s1", "s2")
-        if large.limit(1).count() == 0:
-            return found.distinct()
-        if depth < DEEPEST:
-            grown = large.join(sets.select("sid", "sig"), "sid").select("key", "sid", "s1", "s2", "sig")
-            entries = scratch.save(grown.mapInArrow(_next_entries(threshold), _ENTRY))
-            scratch.drop(sized)
-    # What agrees on so many sampled coordinates is alike, or nearly: every member meets a few leaders.
-    for i in range(LEADERS):
-        order = F.struct(F.xxhash64("sid", "key", F.lit(i)).alias("o"), F.struct("sid", "s1", "s2").alias("l"))
-        leaders = scratch.save(large.groupBy("key").agg(F.min(order).alias("m")).select("key", "m.l"))
-        met = large.join(leaders, "key").where("sid <> l.sid").select(F.least("sid", "l.sid").alias("a"), F.greatest("sid", "l.sid").alias("b"))
-        found = found.unionByName(met)
-    return found.distinct()
+        sized = self.scratch.save(entries.join(sizes, "key"))
+        small = sized.where(F.col("size") <= self.bucket).select(*_FIELDS)
+        ordered = small.repartition(self.n, "key").sortWithinPartitions("key")
+        pairs = self.scratch.save(ordered.mapInArrow(_bucket_pairs(self.threshold, self.bucket), "a bigint, b bigint"))
+        return pairs, sized.where(F.col("size") > self.bucket).select(*_FIELDS)
+
+    def signed(self, large: DataFrame) -> DataFrame:
+        """The signatures of what recurses: the whole table is read once, later levels read this part."""
+        return self.scratch.save(self.sets.select("sid", "sig").join(large.select("sid").distinct().hint("merge"), "sid", "left_semi"))
+
+    def deepen(self, large: DataFrame, sigs: DataFrame, splits: int) -> DataFrame:
+        signed = large.join(sigs, "sid").select(*_FIELDS, "sig")
+        return self.scratch.save(signed.mapInArrow(_next_entries(self.threshold, splits), _ENTRY))
+
+    def run(self, entries: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Candidate pairs, and the members of dense buckets (``sid, lead``), which are not split on."""
+        found, dense, sigs, depth = [], [], None, START
+        while True:
+            pairs, large = self.split(entries)
+            self.scratch.drop(entries)
+            found.append(pairs)
+            if large.limit(1).count() == 0:
+                break
+            if depth >= STAR:
+                stars, thick, thin = _stars(large, self.scratch, self.threshold)
+                found.append(stars)
+                dense.append(thick)
+                if depth >= DEEPEST:  # what still isn't small is treated alike
+                    dense.append(thin.groupBy("key").agg(F.min("sid").alias("lead")).join(thin, "key").select("sid", "lead"))
+                    break
+                if thin.limit(1).count() == 0:
+                    break
+                large = thin
+            sigs = self.signed(large) if sigs is None else sigs
+            splits = 1 if depth < STAR else 2
+            entries, depth = self.deepen(large, sigs, splits), depth + splits
+        union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
+        return union(found), union(dense) if dense else None
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """Those pairs whose whole sets are similar enough."""
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    whole = rows.select("sid", "n", "shingles").join(ends.hint("merge"), "sid", "left_semi").groupBy("sid").agg(F.first(F.struct("n", "shingles")).alias("s"))
+    whole = scratch.save(whole)
+    left = whole.select(F.col("sid").alias("a"), F.col("s").alias("x"))
+    right = whole.select(F.col("sid").alias("b"), F.col("s").alias("y"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x.n", F.col("y.n").alias("m"), "x.shingles", F.col("y.shingles").alias("others"))
+    links = scratch.save(both.mapInArrow(_check(threshold), "a bigint, b bigint"))
+    scratch.drop(whole)
+    return links
+
+
+def _block_links(threshold: float):
+    """Links between a block of sets that lack any and a block of members, by counting common shingles with a matrix product."""
+
+    def links(key, members, rest):
+        import pyarrow as pa
+
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        if members.num_rows and rest.num_rows:
+            blocks = []
+            for t in (rest, members):
+                parts = [np.frombuffer(x.as_buffer(), "<u4") for x in t.column("shingles").combine_chunks()]
+                blocks.append((t.column("sid").to_numpy(), t.column("n").to_numpy(), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts)))
+            (sid, n, row, token), (osid, on, orow, otoken) = blocks
+            shared = np.intersect1d(token, otoken)
+            common = np.zeros((len(sid), len(osid)), np.float32)
+            for at in range(0, len(shared), COLUMNS):
+                part = shared[at : at + COLUMNS]
+                matrices = []
+                for r, t, size in ((row, token, len(sid)), (orow, otoken, len(osid))):
+                    col = np.minimum(np.searchsorted(part, t), len(part) - 1)
+                    on_it = part[col] == t
+                    m = np.zeros((size, len(part)), np.float32)
+                    m[r[on_it], col[on_it]] = 1
+                    matrices.append(m)
+                common += matrices[0] @ matrices[1].T
+            i, j = np.nonzero((common >= threshold * (n[:, None] + on[None, :] - common) - 1e-3) & (sid[:, None] != osid[None, :]))
+            exact = common[i, j].astype(np.int64)
+            keep = exact >= threshold * (n[i] + on[j] - exact) - 1e-9
+            a, b = sid[i[keep]], osid[j[keep]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return links
+
+
+def _rest_links(dense: DataFrame, links: DataFrame, rows: DataFrame, scratch: Scratch, threshold: float) -> DataFrame | None:
+    """Exact links of the members of dense groups that have none so far, against all members of their group, block by block."""
+    linked = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct().withColumn("done", F.lit(True))
+    flagged = scratch.save(dense.join(linked, "sid", "left").select("lead", "sid", F.col("done").isNull().alias("rest")))
+    if flagged.where("rest").limit(1).count() == 0:
+        return None
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    groups = flagged.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.count_if("rest").alias("open")).where("open > 0")
+    groups = scratch.save(groups.select("lead", blocks(F.col("size")).alias("ms"), blocks(F.col("open")).alias("rs")))
+    left = scratch.save(flagged.join(groups, "lead"))
+    whole = scratch.save(rows.select("sid", "n", "shingles").join(left.select("sid").distinct().hint("merge"), "sid", "left_semi").groupBy("sid").agg(F.first(F.struct("n", "shingles")).alias("s")))
+    carried = left.join(whole.hint("merge"), "sid").select("lead", "sid", "rest", "ms", "rs", "s.n", "s.shingles")
+    deal = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    members = carried.select("lead", deal("ms").alias("m"), all_of("rs").alias("r"), "sid", "n", "shingles")
+    rest = carried.where("rest").select("lead", all_of("ms").alias("m"), deal("rs").alias("r"), "sid", "n", "shingles")
+    rest = rest.toDF(*rest.columns)  # names of its own: both sides come from one table
+    keys = ("lead", "m", "r")
+    more = members.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(_block_links(threshold), "a bigint, b bigint")
+    return scratch.save(more.distinct())
+
+
+def similar_sets(
+    spark: SparkSession, rows: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET
+) -> DataFrame:
+    """Links ``(a, b)``, a < b, between ``sets(sid, sig)`` whose shingles are in ``rows``.
+
+    Members of dense buckets meet leaders. Those that the exact check leaves without any link there
+    are then held against all members of the buckets with their leader, block by block.
+    """
+    search = _Search(spark, sets, scratch, threshold, bucket)
+    entries = scratch.save(sets.mapInArrow(_first_entries(runs_for(recall), threshold), _ENTRY))
+    pairs, dense = search.run(entries)
+    links = _verified(scratch.save(pairs), rows, scratch, threshold)
+    more = _rest_links(dense, links, rows, scratch, threshold) if dense is not None else None
+    return links if more is None else scratch.save(links.unionByName(more).distinct())
 
 
 def jaccard_join(
@@ -298,7 +447,7 @@ def jaccard_join(
     instead of to each other). Texts without a word (null, empty) are alone, with their own doc_id and
     no links; shorter ones than ``words`` words are the set of their one run. Repeated rows share a
     node. An empty table gives an empty result. No group is expanded into all its pairs: buckets of
-    more than ``bucket`` sets are split again, and dense ones meet leaders.
+    more than ``bucket`` sets are split again, and members of dense ones meet leaders.
     """
     ship_package(spark)
     scratch = Scratch(spark, "jaccard")
@@ -306,14 +455,7 @@ def jaccard_join(
     schema = "doc_id bigint, set_key string, sid bigint, n int, sig binary, shingles binary"
     rows = scratch.save(one.mapInArrow(_set_rows(words), schema))
     sets = scratch.save(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("first_id")))
-    pairs = scratch.save(similar_sets(spark, sets, scratch, threshold, recall, bucket))
-    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    whole = scratch.save(rows.select("sid", "n", "shingles").join(ends, "sid", "left_semi").groupBy("sid").agg(F.first(F.struct("n", "shingles")).alias("s")))
-    left = whole.select(F.col("sid").alias("a"), F.col("s").alias("x"))
-    right = whole.select(F.col("sid").alias("b"), F.col("s").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x.n", F.col("y.n").alias("m"), "x.shingles", F.col("y.shingles").alias("others"))
-    links = scratch.save(both.mapInArrow(_check(threshold), "a bigint, b bigint"))
-    scratch.drop(whole)
+    links = similar_sets(spark, rows, sets, scratch, threshold, recall, bucket)
     counted = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
     members = connected_components(spark, links)
     known = sets.select("sid", "first_id").join(members.withColumnRenamed("node", "sid"), "sid", "left").join(counted, "sid", "left")

@@ -129,6 +129,49 @@ def test_dense_groups_and_common_passages(spark):
     assert joined(spark, rows)[0] == true_classes(rows)[0]
 
 
+def test_the_rest_of_dense_groups_is_compared_in_blocks(spark, monkeypatch):
+    """Twins that are like each other but no leader, among many edits of one text; blocks of a few sets."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+
+    def edited(words, n):
+        t = list(words)
+        for k in rng.sample(range(300), n):
+            t[k] = f"x{rng.random()}"
+        return t
+
+    texts = [base] + [edited(base, 3) for _ in range(60)]
+    for _ in range(5):
+        far = edited(base, 9)
+        texts += [far, edited(far, 1), edited(far, 2)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 7)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 100)
+    seen = []
+    original = jaccard_join._rest_links
+    monkeypatch.setattr(jaccard_join, "_rest_links", lambda *a: seen.append(original(*a)) or seen[-1])
+    got = joined(spark, rows, bucket=3)[0]
+    assert got == true_classes(rows)[0] and seen
+
+
+def test_blocks_count_common_shingles_exactly():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    core = rng.choice(2**32, 300, replace=False).astype("<u4")
+    sets = [np.unique(np.concatenate((rng.choice(core, rng.integers(200, 300), replace=False), rng.integers(0, 2**32, rng.integers(0, 40)).astype("<u4")))) for _ in range(40)]
+    table = lambda at: pa.table({"sid": pa.array(at), "n": pa.array([len(sets[i]) for i in at], pa.int32()), "shingles": pa.array([sets[i].tobytes() for i in at], pa.binary())})
+    got = jaccard_join._block_links(0.8)(None, table(list(range(40))), table(list(range(0, 40, 3))))
+    want = set()
+    for i in range(0, 40, 3):
+        for j in range(40):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if i != j and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+                want.add((min(i, j), max(i, j)))
+    assert {(r["a"], r["b"]) for r in got.to_pylist()} == want
+
+
 def test_repeated_rows_share_a_node(spark):
     got = joined(spark, [(4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f")])
     assert got == ({4: 2, 2: 2}, {4: 0, 2: 0})
