@@ -67,13 +67,14 @@ def mix_sources(
 ) -> DataFrame:
     """The mixture: every document as often as its Poisson number says, in a random global order.
 
-    Adds ``mix_rate`` (mean repetitions), ``replica`` (from 1) and ``shuffle_key``. Counts depend on
+    Adds ``mix_rate`` (mean repetitions), ``replica`` (from 1) and ``shuffle_key``; columns named so are replaced. Counts depend on
     ``seed`` and doc_id alone, so a rerun or a lost executor changes nothing; repeated rows share a
     count. The order is that of the hash of seed, doc_id and replica within partitions that the same
     hash deals out. Up to ``broadcast_sources`` sources (counted first) the rates are broadcast, else
     they are joined by a shuffle. Documents whose number is 0 are not in the mixture: that is the
     method's sampling. An empty table gives an empty mixture.
     """
+    docs = docs.drop("mix_source", "mix_docs", "mix_rate", "mix_n", "replica", "shuffle_key")
     rates = source_rates(docs, source, weights, temperature, epochs)
     few = docs.select(F.col(f"`{source}`")).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
     rated = docs.join(F.broadcast(rates) if few else rates, F.col(f"`{source}`").eqNullSafe(F.col("mix_source")))

@@ -72,18 +72,26 @@ def context_table(counts: DataFrame, coarse: int = COARSE) -> DataFrame:
     )
 
 
-def at_limits(table: DataFrame, limits: DataFrame) -> DataFrame:
+def at_limits(table: DataFrame, limits: DataFrame, coarse: int = COARSE) -> DataFrame:
     """``limits(limit)`` with the totals for any limit, also between lengths: those of the greatest length within it.
 
-    ``table`` is ``context_table``'s result, whose size is the number of distinct lengths.
+    ``table`` is ``context_table``'s result. As there, sums run in two levels, so nothing is compared
+    with everything: within runs of ``coarse`` lengths, then from the last length of the runs before.
+    Repeated and null limits are answered once or not at all.
     """
-    marks = table.select(F.col("context_limit"), "docs_over", "docs_within", "tokens_within")
-    best = limits.join(marks, F.col("context_limit") <= F.col("limit"), "left").groupBy("limit").agg(
-        F.max(F.struct("context_limit", "docs_over", "docs_within", "tokens_within")).alias("m")
-    )
-    total = table.agg(F.sum("docs_at").alias("all_docs"))
-    over = F.coalesce(F.col("m.docs_over"), F.col("all_docs"))
-    return best.crossJoin(F.broadcast(total)).select(
+    mark = F.struct("context_limit", "docs_over", "docs_within", "tokens_within")
+    of = lambda c: F.floor(F.col(c) / coarse)
+    marks = table.select(F.col("context_limit").alias("at"), of("context_limit").alias("run"), F.lit(False).alias("asked"), mark.alias("m"))
+    asked = limits.where("limit IS NOT NULL").select(F.col("limit").cast("bigint").alias("at"), of("limit").alias("run"), F.lit(True).alias("asked")).distinct()
+    rows = marks.unionByName(asked, allowMissingColumns=True)
+    inside = Window.partitionBy("run").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("run").agg(F.max("m").alias("last")).select("run", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    found = rows.select("*", F.last("m", ignorenulls=True).over(inside).alias("own")).where("asked").join(runs, "run")
+    total = table.agg(F.sum("docs_at").alias("all_docs"))  # one row
+    got = found.select(F.col("at").alias("limit"), F.coalesce("own", "carried").alias("m")).crossJoin(F.broadcast(total))
+    over = F.coalesce(F.col("m.docs_over"), F.col("all_docs"), F.lit(0))
+    return got.select(
         "limit", over.alias("docs_over"), F.coalesce("m.docs_within", F.lit(0)).alias("docs_within"),
         (F.coalesce("m.tokens_within", F.lit(0)) + over * F.col("limit")).alias("tokens_truncated"),
     )

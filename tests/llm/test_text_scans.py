@@ -103,7 +103,7 @@ def test_lengths_and_totals_against_brute_force(spark):
         assert r["docs_at"] == lengths.count(limit) and r["docs_over"] == sum(n > limit for n in lengths) and r["docs_within"] == sum(n <= limit for n in lengths)
         assert r["tokens_within"] == sum(n for n in lengths if n <= limit) and r["tokens_truncated"] == sum(min(n, limit) for n in lengths)
         assert r["tokens_lost"] == sum(max(0, n - limit) for n in lengths) and r["quantile"] == pytest.approx(r["docs_within"] / len(lengths))
-    limits = spark.createDataFrame([(v,) for v in (0, 1, 3, 700, 10**6)], "limit long")
+    limits = spark.createDataFrame([(v,) for v in (0, 1, 3, 64, 700, 3001, 10**6, 10**6)], "limit long")
     for r in token_counts.at_limits(token_counts.context_table(counts), limits).collect():
         assert r["tokens_truncated"] == sum(min(n, r["limit"]) for n in lengths) and r["docs_over"] == sum(n > r["limit"] for n in lengths)
     assert token_counts.context_table(token_counts.length_counts(docs(spark, []))).count() == 0
