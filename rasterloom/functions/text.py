@@ -64,3 +64,8 @@ def truncate_head(text: Column, length: int) -> Column:
 def clamp_int(v: Column, low: int, high: int) -> Column:
     ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     return F.when(ok, F.greatest(F.lit(low), F.least(F.lit(high), F.floor(v + 0.5)))).otherwise(F.lit(low)).cast("int")
+
+
+def output_bytes(text: Column, format: str) -> Column:
+    """A document's bytes: PDF as Latin-1, whose offsets count bytes, all else as UTF-8."""
+    return F.encode(text, "ISO-8859-1" if format == "pdf" else "UTF-8")

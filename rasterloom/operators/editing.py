@@ -38,3 +38,9 @@ def uniquify(names: DataFrame, *keys: str) -> DataFrame:
     same = Window.partitionBy(*keys, "name")
     n, i = F.count(F.lit(1)).over(same), F.row_number().over(same.orderBy("idx"))
     return names.withColumn("label", F.when(n > 1, F.concat_ws(" ", "name", i.cast("string"))).otherwise(F.col("name")))
+
+
+def pending(suggestions: DataFrame, done: DataFrame) -> DataFrame:
+    """Suggestions (``keep, absorb``) of which neither colour is in ``done(hex)``, the merged and removed ones."""
+    left = suggestions.join(done.select(F.col("hex").alias("absorb")), "absorb", "left_anti")
+    return left.join(done.select(F.col("hex").alias("keep")), "keep", "left_anti")

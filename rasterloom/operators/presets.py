@@ -82,3 +82,11 @@ def describe(options: Column) -> Column:
     parts = [F.when(options[k].isNotNull(), F.format_string(words.replace("{}", "%s"), plain(k))) for k, words in _WORDS]
     parts.append(F.when(options["strokeMode"] != "off", F.concat(F.lit("strokes "), options["strokeMode"])))
     return F.concat_ws(" · ", *parts)
+
+
+def store(presets: DataFrame) -> DataFrame:
+    """One row ``json``: the presets as ``load`` reads them, newest first."""
+    kept = presets.orderBy(F.desc("created_at"), "id").limit(MOST)
+    entry = F.struct("id", "label", "options", F.col("created_at").alias("createdAt"))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("created_at").alias("t"), entry.alias("e"))), asc=False)
+    return kept.agg(F.to_json(F.transform(ordered, lambda r: r["e"])).alias("json"))  # at most 24 rows

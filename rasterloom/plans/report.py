@@ -78,3 +78,10 @@ def answers(results: DataFrame, format: str, most: int = INLINE) -> DataFrame:
     body = F.when(is_inline(F.lit(format), F.col("output_bytes"), most), F.decode("output", "UTF-8"))
     kept = [c for c in results.columns if c not in ("output", "layers", "image_id")]
     return results.select("image_id", F.to_json(F.struct(*kept, F.lit(format).alias("format"), body.alias("content"))).alias("answer"))
+
+
+def notices(analyses: DataFrame) -> DataFrame:
+    """``image_id, worst, notices``: the worst level of an image's findings and its first three that aren't mere information."""
+    rank = F.transform("findings", lambda f: F.when(f["level"] == "error", 2).when(f["level"] == "warning", 1).otherwise(0))
+    worst = F.when(F.array_max(rank) == 2, "error").when(F.array_max(rank) == 1, "warning").otherwise("info")
+    return analyses.select("image_id", worst.alias("worst"), F.slice(F.filter("findings", lambda f: f["level"] != "info"), 1, 3).alias("notices"))

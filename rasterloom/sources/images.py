@@ -97,6 +97,23 @@ def upright(spark: SparkSession, images: DataFrame, path: str | Sequence[str], r
     return both.where("orientation IS NULL OR data IS NULL").drop("orientation").unionByName(odd)
 
 
+def within_bytes(spark: SparkSession, images: DataFrame, path: str | Sequence[str], recursive: bool = False, most: int = MOST_BYTES) -> DataFrame:
+    """``images`` of ``path`` with a reason and no data for files over ``most`` bytes; sizes come from the listing, not the contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path if isinstance(path, str) else list(path))
+    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    large = files.where(F.col("length") > most).select(key("path").alias("key"), F.lit(f"more than {most} bytes").alias("large"))
+    both = images.withColumn("key", key("image_id")).join(large, "key", "left")
+    data, reason = F.when(F.col("large").isNull(), F.col("data")), F.coalesce("large", "reason")
+    return both.withColumn("data", data).withColumn("reason", reason).drop("key", "large")
+
+
+def blank(spark: SparkSession, width: int, height: int, image_id: str = "blank") -> DataFrame:
+    """A transparent raster as pixels."""
+    p = spark.range(width * height).withColumnRenamed("id", "p")
+    zero = [F.lit(0).alias(c) for c in "rgba"]
+    return p.select(F.lit(image_id).alias("image_id"), "p", (F.col("p") % width).cast("int").alias("x"), F.expr(f"p div {width}").cast("int").alias("y"), *zero)
+
+
 def read_images(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
     """One row for each file; what can't be decoded, is empty or is too large has a ``reason`` and no data."""
     rows = spark.read.format("image").option("recursiveFileLookup", str(recursive).lower()).load(path if isinstance(path, str) else list(path))

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterloom.plans import studio
@@ -168,3 +169,52 @@ def test_session():
     assert (merged["colors"], merged["pieces"], merged["nodes"]) == (1, 2, first["nodes"])
     assert s.edit([("#e63946", ["#c83946"])], exact=True)["colors"] == 1 and s.export("svg")["body"].startswith(b"<svg")
     assert s.edit(remove=["#c83946"])["pieces"] == 1 and s.load(a[:0])["type"] == "error" and s.reset() == {"type": "reset"}
+
+
+def test_samples_have_the_expected_verdicts(spark):
+    from rasterloom.plans import report
+    from rasterloom.sources.samples import sample_images, sample_list
+
+    assert sample_list(spark).count() == 6
+    images = sample_images(spark)
+    kinds = {r["image_id"]: r for r in studio.analyze(images).collect()}
+    assert kinds["photo"]["suitability"] == "poor" and kinds["logo"]["suitability"] == "excellent" and kinds["noisy-logo"]["noise_estimate"] > 0.1 > kinds["logo"]["noise_estimate"]
+    assert {r["image_id"]: r["worst"] for r in report.notices(studio.analyze(images)).collect()}["photo"] == "error"
+    traced = {r["image_id"]: r for r in studio.vectorize(images, min_score=35).collect()}
+    assert traced["photo"]["status"] == "skipped"
+    assert (traced["logo"]["colors"], traced["logo"]["dropped_regions"]) == (4, 0) and traced["logo"]["nodes"] < 120 and {"#1d3557", "#f1faee", "#e63946", "#457b9d"} == {x["hex"] for x in traced["logo"]["layers"]}
+    assert traced["sticker"]["colors"] == 3 and traced["sticker"]["nodes"] < 200 and "#ffffff" not in {x["hex"] for x in traced["sticker"]["layers"]}
+    assert traced["line-art"]["strokes"] >= 4 and abs(traced["line-art"]["median_stroke_width"] - 9) <= 0.5
+    assert traced["noisy-logo"]["pieces"] <= 10 and 3 <= traced["noisy-logo"]["colors"] <= 5
+    pixel = traced["pixel-art"]
+    points = [(s["to"]["x"], s["to"]["y"]) for x in pixel["layers"] for shape in x["shapes"] for c in shape["contours"] for s in c["segments"]]
+    assert pixel["colors"] == 3 and all(x == int(x) and y == int(y) for x, y in points)
+
+
+def test_limits_blanks_and_small_helpers(spark, folder):
+    from rasterloom.functions.text import output_bytes
+    from rasterloom.operators import editing, presets
+    from rasterloom.sources.images import blank as blank_pixels, within_bytes
+
+    got = {os.path.basename(r["image_id"]): r for r in within_bytes(spark, read_images(spark, folder), folder, most=5000).collect()}
+    assert got["photo.png"]["data"] is None and "5000" in got["photo.png"]["reason"] and got["a.png"]["data"] is not None
+    assert blank_pixels(spark, 7, 3).agg(F.count("p"), F.max("x"), F.max("y"), F.sum("a")).first()[:] == (21, 6, 2, 0)
+    one = spark.range(1).select(output_bytes(F.lit("é"), "pdf").alias("p"), output_bytes(F.lit("é"), "svg").alias("s")).first()
+    assert bytes(one["p"]) == b"\xe9" and bytes(one["s"]) == "é".encode()
+    s = spark.createDataFrame([("#111111", "#222222"), ("#333333", "#444444")], "keep string, absorb string")
+    assert editing.pending(s, spark.createDataFrame([("#222222",)], "hex string")).count() == 1
+    row = spark.createDataFrame([('[{"id":"custom:a","label":"x","options":{"detail":3},"createdAt":4}]',)], "json string")
+    assert presets.load(presets.store(presets.load(row))).select("id", "label", "options.detail", "created_at").first()[:] == ("custom:a", "x", 3.0, 4)
+
+
+def test_sql_colour_functions_agree_with_columns(spark):
+    from rasterloom.functions import color
+    from rasterloom.functions.registry import register
+
+    register(spark)
+    df = spark.range(0, 2000).selectExpr("cast(id * 61 % 256 as int) r", "cast(id * 37 % 256 as int) g", "cast(id * 11 % 256 as int) b")
+    lab = color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))
+    both = df.withColumn("lab", lab).withColumn("name", color.color_name(F.col("r"), F.col("g"), F.col("b"))).withColumn("d", color.delta_e2000(F.col("lab"), F.lead("lab").over(Window.orderBy("r", "g", "b"))))
+    both = both.withColumn("next", F.lead("lab").over(Window.orderBy("r", "g", "b")))
+    bad = both.where("rl_color_name(r, g, b) <> name OR abs(rl_rgb_to_lab(r, g, b).a - lab.a) > 1e-9 OR abs(rl_delta_e2000(lab, next) - d) > 1e-9")
+    assert bad.count() == 0
