@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from rasterloom.scratch import Scratch
 from rasterloom.session import ship_package
 
 
@@ -75,28 +76,27 @@ def run_roots(px: DataFrame) -> DataFrame:
 def run_roots_distributed(px: DataFrame, most: int = 60) -> DataFrame:
     """As ``run_roots``, for an image too large for one task: least roots over touching runs, with pointer jumping.
 
-    Tables are checkpointed each round, so lineage stays short and survives lost executors.
+    Each round is written to the shared folder and read again, which cuts lineage, survives lost
+    executors, and keeps size estimates true (those of checkpoints are squared by every join).
     """
-    spark = px.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rasterloom-"))
-    r = runs(px).checkpoint()
+    scratch = Scratch(px.sparkSession, "roots")
+    r = scratch.save(runs(px))
     a = r.select("image_id", F.col("y"), "k", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("p0").alias("a"))
     b = r.select("image_id", (F.col("y") - 1).alias("y"), "k", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("p0").alias("b"))
     touch = a.join(b, ["image_id", "y", "k"]).where("a0 <= b1 AND b0 <= a1").select("image_id", "a", "b")
-    touch = touch.unionByName(touch.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    roots = r.select("image_id", F.col("p0").alias("a"), F.col("p0").alias("root")).checkpoint()
+    touch = scratch.save(touch.unionByName(touch.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))))
+    roots = scratch.save(r.select("image_id", F.col("p0").alias("a"), F.col("p0").alias("root")))
     for _ in range(most):
         near = touch.join(roots.withColumnRenamed("a", "b"), ["image_id", "b"]).groupBy("image_id", "a").agg(F.min("root").alias("seen"))
-        hooked = roots.join(near, ["image_id", "a"], "left").select("image_id", "a", "root", F.least("root", "seen").alias("to"))
+        hooked = scratch.save(roots.join(near, ["image_id", "a"], "left").select("image_id", "a", F.col("root").alias("was"), F.least("root", "seen").alias("to")))
         jump = hooked.select("image_id", F.col("a").alias("to"), F.col("to").alias("next"))
-        moved = hooked.join(jump, ["image_id", "to"]).select("image_id", "a", F.least("to", "next").alias("new"), "root").checkpoint()
-        settled = moved.where("new <> root").limit(1).count() == 0
-        roots = moved.select("image_id", "a", F.col("new").alias("root"))
-        if settled:
-            return r.join(roots.withColumnRenamed("a", "p0"), ["image_id", "p0"]).select("image_id", "y", "x0", "x1", "k", "root")
+        moved = hooked.join(jump, ["image_id", "to"]).select("image_id", "a", F.least("to", "next").alias("root"), (F.least("to", "next") != F.col("was")).alias("changed"))
+        moved = scratch.save(moved)
+        scratch.drop(roots)
+        scratch.drop(hooked)
+        roots = moved
+        if roots.where("changed").limit(1).count() == 0:
+            return r.join(roots.select("image_id", F.col("a").alias("p0"), "root"), ["image_id", "p0"]).select("image_id", "y", "x0", "x1", "k", "root")
     raise RuntimeError(f"regions did not settle in {most} rounds")
 
 
