@@ -1,61 +1,13 @@
-"""Scratch tables in the folder that driver and executors share."""
+"""What several operators use."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.scratch import Scratch, shared_root
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone; the folder is scratch
-        pass
-
-
-class Scratch:
-    """Parquet tables that cut lineage: they survive the loss of any executor.
-
-    A table is dropped by name as soon as a successor replaces it, the rest when the driver exits.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-        self._at: dict[int, str] = {}
-        atexit.register(_remove, spark, self.path)
-
-    def new_path(self) -> str:
-        self._n += 1
-        return f"{self.path}/{self._n}"
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = self.new_path()
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self._at[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = self._at.pop(id(df), None)
-        if path:
-            _remove(self.spark, path)
+__all__ = ["Scratch", "only", "shared_root", "unit_hash"]
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
