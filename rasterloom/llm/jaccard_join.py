@@ -308,8 +308,10 @@ class _Search:
 
     def split(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs within small buckets, and the entries of large ones."""
-        sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        # The sizes are written first, so that a bucket with many entries can be split in the join with them.
+        sizes = self.scratch.save(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         sized = self.scratch.save(entries.join(sizes, "key"))
+        self.scratch.drop(sizes)
         small = sized.where(F.col("size") <= self.bucket).select(*_FIELDS)
         ordered = small.repartition(self.n, "key").sortWithinPartitions("key")
         pairs = self.scratch.save(ordered.mapInArrow(_bucket_pairs(self.threshold, self.bucket), "a bigint, b bigint"))
@@ -349,11 +351,15 @@ class _Search:
         return union(found), union(dense) if dense else None
 
 
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """``sid, s``: size and shingles of each set. Copies are combined before they are dealt, so many of one set don't meet."""
+    return rows.where("sid IS NOT NULL").groupBy("sid").agg(F.first(F.struct("n", "shingles")).alias("s"))
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
     """Those pairs whose whole sets are similar enough."""
     ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    whole = rows.select("sid", "n", "shingles").join(ends.hint("merge"), "sid", "left_semi").groupBy("sid").agg(F.first(F.struct("n", "shingles")).alias("s"))
-    whole = scratch.save(whole)
+    whole = scratch.save(_one_of_each(rows).join(ends.hint("merge"), "sid", "left_semi"))
     left = whole.select(F.col("sid").alias("a"), F.col("s").alias("x"))
     right = whole.select(F.col("sid").alias("b"), F.col("s").alias("y"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x.n", F.col("y.n").alias("m"), "x.shingles", F.col("y.shingles").alias("others"))
@@ -406,7 +412,7 @@ def _rest_links(dense: DataFrame, links: DataFrame, rows: DataFrame, scratch: Sc
     groups = flagged.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.count_if("rest").alias("open")).where("open > 0")
     groups = scratch.save(groups.select("lead", blocks(F.col("size")).alias("ms"), blocks(F.col("open")).alias("rs")))
     left = scratch.save(flagged.join(groups, "lead"))
-    whole = scratch.save(rows.select("sid", "n", "shingles").join(left.select("sid").distinct().hint("merge"), "sid", "left_semi").groupBy("sid").agg(F.first(F.struct("n", "shingles")).alias("s")))
+    whole = scratch.save(_one_of_each(rows).join(left.select("sid").distinct().hint("merge"), "sid", "left_semi"))
     carried = left.join(whole.hint("merge"), "sid").select("lead", "sid", "rest", "ms", "rs", "s.n", "s.shingles")
     deal = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
