@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.shared import Scratch
@@ -140,11 +140,10 @@ def _search_shard(k: int):
 
 
 def top_k(hits: DataFrame, k: int) -> DataFrame:
-    """Each query's k best hits with their rank, by score, then the smaller id."""
-    order = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))
-    best = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("b"))
-    ranked = best.select("query_id", F.posexplode("b").alias("p", "b"))
-    return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    """Each query's k best hits with their rank, by score, then the smaller id; each task keeps only k a query before they meet."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = hits.select("query_id", "vec_id", "score", F.row_number().over(best).alias("rank"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_top_k(
