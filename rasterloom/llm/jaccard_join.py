@@ -282,7 +282,9 @@ def _stars(large: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFr
     probes = scratch.save(large.groupBy("key").agg(*probes))
     met = large.select("key", entry.alias("e")).join(probes, "key")
     total = sum((_differ(F.col("e"), F.col(f"p{i}.e")) for i in range(1, PROBES)), _differ(F.col("e"), F.col("p0.e")))
-    medoids = met.groupBy("key").agg(F.min(F.struct(total.alias("t"), F.col("e"))).alias("m"))
+    # Written first, so that a bucket's members are combined in the tasks that hold them before they meet.
+    totals = scratch.save(met.select("key", "e", total.alias("t")))
+    medoids = totals.groupBy("key").agg(F.min(F.struct("t", "e")).alias("m"))
     leaders = scratch.save(medoids.join(probes, "key").select("key", F.array("m.e", "p0.e", "p1.e").alias("leaders")))
     near = lambda l, most: _differ(entry, l) <= most
     members = large.join(leaders, "key").select(
