@@ -25,7 +25,8 @@ from rasterloom.session import ship_package
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDINATES = 128
 BUCKET = 48  #: sets that are compared with each other at once
-BLOCK, COLUMNS = 256, 8192  #: sets of a block, and shingles counted at once, where the rest of dense groups is compared
+BLOCK, COLUMNS = 1024, 8192  #: sets of a block, and shingles counted at once, where dense groups are compared
+SHINGLES = 2_000_000  #: of a block, about
 START, STAR, DEEPEST = 2, 3, 12  #: splits before buckets are looked at, before dense ones are left, and at most
 PROBES, DENSE = 6, 0.5  #: random members that leaders are chosen by, and the share near a leader that makes a bucket dense
 
@@ -370,8 +371,27 @@ def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch, threshold: fl
     return links
 
 
-def _block_links(threshold: float):
-    """Links between a block of sets that lack any and a block of members, by counting common shingles with a matrix product."""
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of links that connect whatever the links of a matrix connect."""
+    rows, cols = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    new_row, new_col = linked.any(axis=1), linked.any(axis=0)
+    for first in np.flatnonzero(new_row):
+        near = np.array([first]) if new_row[first] else np.empty(0, np.int64)
+        new_row[near] = False
+        while len(near):
+            far = np.flatnonzero(new_col & linked[near].any(axis=0))
+            if not len(far):
+                break
+            new_col[far] = False
+            rows.append(near[linked[np.ix_(near, far)].argmax(axis=0)]), cols.append(far)
+            near = np.flatnonzero(new_row & linked[:, far].any(axis=1))
+            new_row[near] = False
+            rows.append(near), cols.append(far[linked[np.ix_(near, far)].argmax(axis=1)])
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _block_links(threshold: float, whole: bool = True):
+    """Links between two blocks of sets, by counting common shingles with a matrix product; if not ``whole``, links that connect the same."""
 
     def links(key, members, rest):
         import pyarrow as pa
@@ -395,35 +415,33 @@ def _block_links(threshold: float):
                     m[r[on_it], col[on_it]] = 1
                     matrices.append(m)
                 common += matrices[0] @ matrices[1].T
-            i, j = np.nonzero((common >= threshold * (n[:, None] + on[None, :] - common) - 1e-3) & (sid[:, None] != osid[None, :]))
-            exact = common[i, j].astype(np.int64)
-            keep = exact >= threshold * (n[i] + on[j] - exact) - 1e-9
-            a, b = sid[i[keep]], osid[j[keep]]
+            # Counts are whole numbers that a float holds; the bound is taken in double.
+            least = threshold * (n[:, None].astype(np.float64) + on[None, :] - common) - 1e-9
+            linked = (common >= least) & (sid[:, None] != osid[None, :])
+            i, j = np.nonzero(linked) if whole else _forest(linked)
+            a, b = sid[i], osid[j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return links
 
 
-def _rest_links(dense: DataFrame, links: DataFrame, rows: DataFrame, scratch: Scratch, threshold: float) -> DataFrame | None:
-    """Exact links of the members of dense groups that have none so far, against all members of their group, block by block."""
-    linked = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).distinct().withColumn("done", F.lit(True))
-    flagged = scratch.save(dense.join(linked, "sid", "left").select("lead", "sid", F.col("done").isNull().alias("rest")))
-    if flagged.where("rest").limit(1).count() == 0:
-        return None
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    groups = flagged.groupBy("lead").agg(F.count(F.lit(1)).alias("size"), F.count_if("rest").alias("open")).where("open > 0")
-    groups = scratch.save(groups.select("lead", blocks(F.col("size")).alias("ms"), blocks(F.col("open")).alias("rs")))
-    left = scratch.save(flagged.join(groups, "lead"))
-    whole = scratch.save(_one_of_each(rows).join(left.select("sid").distinct().hint("merge"), "sid", "left_semi"))
-    carried = left.join(whole.hint("merge"), "sid").select("lead", "sid", "rest", "ms", "rs", "s.n", "s.shingles")
-    deal = lambda c: F.pmod(F.xxhash64("sid"), F.col(c)).cast("int")
-    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    members = carried.select("lead", deal("ms").alias("m"), all_of("rs").alias("r"), "sid", "n", "shingles")
-    rest = carried.where("rest").select("lead", all_of("ms").alias("m"), deal("rs").alias("r"), "sid", "n", "shingles")
-    rest = rest.toDF(*rest.columns)  # names of its own: both sides come from one table
-    keys = ("lead", "m", "r")
-    more = members.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(_block_links(threshold), "a bigint, b bigint")
-    return scratch.save(more.distinct())
+def _rest_links(dense: DataFrame, rows: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """Links that connect what all links between members of a dense group connect; every member meets every other, block by block.
+
+    Buckets that share a member are one group, so a set is in one group only and no pair is compared twice.
+    """
+    spark = rows.sparkSession
+    grouped = connected_components(spark, dense.select(F.col("lead").alias("a"), F.col("sid").alias("b"))).select(F.col("node").alias("sid"), F.col("component").alias("lead"))
+    carried = scratch.save(_one_of_each(rows).join(grouped.hint("merge"), "sid").select("lead", "sid", "s.n", "s.shingles"))
+    size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)
+    groups = scratch.save(carried.groupBy("lead").agg(F.ceil(size).cast("int").alias("blocks")))
+    dealt = carried.join(groups, "lead").withColumn("at", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    # Of two blocks the lower is m, the other r.
+    columns = ("lead", "m", "r", "sid", "n", "shingles")
+    members = dealt.withColumn("m", F.col("at")).withColumn("r", F.explode(F.sequence(F.col("at"), F.col("blocks") - 1))).select(*columns)
+    rest = dealt.withColumn("r", F.col("at")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("at")))).select(*columns).toDF(*columns)
+    keys = columns[:3]
+    return scratch.save(members.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(_block_links(threshold, False), "a bigint, b bigint"))
 
 
 def similar_sets(
@@ -431,14 +449,14 @@ def similar_sets(
 ) -> DataFrame:
     """Links ``(a, b)``, a < b, between ``sets(sid, sig)`` whose shingles are in ``rows``.
 
-    Members of dense buckets meet leaders. Those that the exact check leaves without any link there
-    are then held against all members of the buckets with their leader, block by block.
+    Members of dense buckets meet leaders, and then all members of their group, block by block; of
+    the links found there as many are kept as connect the same sets.
     """
     search = _Search(spark, sets, scratch, threshold, bucket)
     entries = scratch.save(sets.mapInArrow(_first_entries(runs_for(recall), threshold), _ENTRY))
     pairs, dense = search.run(entries)
     links = _verified(scratch.save(pairs), rows, scratch, threshold)
-    more = _rest_links(dense, links, rows, scratch, threshold) if dense is not None else None
+    more = _rest_links(dense, rows, scratch, threshold) if dense is not None else None
     return links if more is None else scratch.save(links.unionByName(more).distinct())
 
 

@@ -155,6 +155,46 @@ def test_the_rest_of_dense_groups_is_compared_in_blocks(spark, monkeypatch):
     assert got == true_classes(rows)[0] and seen
 
 
+def bridged_clusters():
+    """Two dense clusters of edits of unlike texts and a chain of twins between them; and pairs that the search may find: members with leaders, twins."""
+    rng = random.Random(12)
+
+    def step(words, n):  # each changed word lies apart and changes five shingles
+        t = list(words)
+        for k in rng.sample(range(3, 600, 6), n):
+            t[k] = f"x{rng.random()}".replace(".", "_")
+        return t
+
+    way = [[f"w{i}" for i in range(600)]]
+    for _ in range(5):
+        way.append(step(way[-1], 10))
+    left, right = [way[0]] + [step(way[0], 1) for _ in range(30)], [way[5]] + [step(way[5], 1) for _ in range(30)]
+    twins = [w for far in way[1:5] for w in (far, step(far, 1))]
+    pairs = [(0, i) for i in range(1, 31)] + [(31, i) for i in range(32, 62)] + [(i, i + 1) for i in range(62, 70, 2)]
+    return [(i, " ".join(t)) for i, t in enumerate(left + right + twins)], pairs
+
+
+def with_search(monkeypatch, pairs, dense):
+    """Sets these pairs and dense buckets, by doc_id, in place of those that the search finds."""
+
+    def run(self, entries):
+        sid = {r["first_id"]: r["sid"] for r in self.sets.select("first_id", "sid").collect()}
+        spark = self.sets.sparkSession
+        ends = [sorted((sid[a], sid[b])) for a, b in pairs]
+        return spark.createDataFrame(ends, "a long, b long"), spark.createDataFrame([(sid[i], sid[lead]) for i, lead in dense], "sid long, lead long")
+
+    monkeypatch.setattr(jaccard_join._Search, "run", run)
+
+
+def test_bridged_dense_clusters_are_one_class(spark, monkeypatch):
+    rows, pairs = bridged_clusters()
+    want = true_classes(rows)[0]
+    assert set(want.values()) == {0}
+    with_search(monkeypatch, pairs, [(i, 0) for i in range(66)] + [(i, 31) for i in range(31, 70)])
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    assert joined(spark, rows)[0] == want
+
+
 def test_blocks_count_common_shingles_exactly():
     import pyarrow as pa
 
