@@ -391,12 +391,15 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_links(threshold: float, whole: bool = True):
-    """Links between two blocks of sets, by counting common shingles with a matrix product; if not ``whole``, links that connect the same."""
+    """Links between two blocks of sets, by counting common shingles with a matrix product.
+
+    If not ``whole``, only links that connect the same, and a row ``a, links`` with the number of links of each set that has any.
+    """
 
     def links(key, members, rest):
         import pyarrow as pa
 
-        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        a, b, sids, degrees = (np.empty(0, np.int64) for _ in range(4))
         if members.num_rows and rest.num_rows:
             blocks = []
             for t in (rest, members):
@@ -420,15 +423,27 @@ def _block_links(threshold: float, whole: bool = True):
             linked = (common >= least) & (sid[:, None] != osid[None, :])
             i, j = np.nonzero(linked) if whole else _forest(linked)
             a, b = sid[i], osid[j]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            if not whole:
+                # A block that meets itself has each link twice, from either end.
+                itself = key[1].as_py() == key[2].as_py()
+                sids = sid if itself else np.concatenate((sid, osid))
+                degrees = linked.sum(axis=1) if itself else np.concatenate((linked.sum(axis=1), linked.sum(axis=0)))
+                sids, degrees = sids[degrees > 0], degrees[degrees > 0]
+        ends = pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        if whole:
+            return ends
+        ends = ends.append_column("links", pa.nulls(len(a), pa.int64()))
+        return pa.concat_tables([ends, pa.table({"a": sids, "b": pa.nulls(len(sids), pa.int64()), "links": degrees.astype(np.int64)})])
 
     return links
 
 
-def _rest_links(dense: DataFrame, rows: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
-    """Links that connect what all links between members of a dense group connect; every member meets every other, block by block.
+def _rest_links(dense: DataFrame, rows: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``a, b, links`` of dense groups, and the group of each member (``sid, lead``): every member meets every other, block by block.
 
-    Buckets that share a member are one group, so a set is in one group only and no pair is compared twice.
+    Rows with ``b`` are links that connect what all links of a group connect; rows without are a part
+    of the number of links of the set ``a`` within its group. Buckets that share a member are one
+    group, so a set is in one group only and no pair is compared twice.
     """
     spark = rows.sparkSession
     grouped = connected_components(spark, dense.select(F.col("lead").alias("a"), F.col("sid").alias("b"))).select(F.col("node").alias("sid"), F.col("component").alias("lead"))
@@ -441,23 +456,38 @@ def _rest_links(dense: DataFrame, rows: DataFrame, scratch: Scratch, threshold:
     members = dealt.withColumn("m", F.col("at")).withColumn("r", F.explode(F.sequence(F.col("at"), F.col("blocks") - 1))).select(*columns)
     rest = dealt.withColumn("r", F.col("at")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("at")))).select(*columns).toDF(*columns)
     keys = columns[:3]
-    return scratch.save(members.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(_block_links(threshold, False), "a bigint, b bigint"))
+    met = members.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(_block_links(threshold, False), "a bigint, b bigint, links bigint")
+    return scratch.save(met), grouped
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    """A row ``sid, links`` for each end of a link."""
+    return links.select(F.explode(F.array("a", "b")).alias("sid"), F.lit(1).cast("bigint").alias("links"))
 
 
 def similar_sets(
     spark: SparkSession, rows: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET
-) -> DataFrame:
-    """Links ``(a, b)``, a < b, between ``sets(sid, sig)`` whose shingles are in ``rows``.
+) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b)``, a < b, between ``sets(sid, sig)`` whose shingles are in ``rows``; and ``sid, n_links`` of sets with links.
 
     Members of dense buckets meet leaders, and then all members of their group, block by block; of
-    the links found there as many are kept as connect the same sets.
+    the links found there as many are kept as connect the same sets, but all are counted.
     """
     search = _Search(spark, sets, scratch, threshold, bucket)
     entries = scratch.save(sets.mapInArrow(_first_entries(runs_for(recall), threshold), _ENTRY))
     pairs, dense = search.run(entries)
     links = _verified(scratch.save(pairs), rows, scratch, threshold)
-    more = _rest_links(dense, rows, scratch, threshold) if dense is not None else None
-    return links if more is None else scratch.save(links.unionByName(more).distinct())
+    degrees = _degrees(links)
+    if dense is not None:
+        met, grouped = _rest_links(dense, rows, scratch, threshold)
+        grouped = scratch.save(grouped)
+        ends = [grouped.select(F.col("sid").alias(c), F.col("lead").alias(f"{c}_group")) for c in "ab"]
+        # Links within a group are in its own count.
+        outside = links.join(ends[0], "a", "left").join(ends[1], "b", "left").where("a_group IS NULL OR b_group IS NULL OR a_group <> b_group")
+        inside = met.where("b IS NULL").select(F.col("a").alias("sid"), "links")
+        degrees = _degrees(outside).unionByName(inside)
+        links = scratch.save(links.unionByName(met.where("b IS NOT NULL").select("a", "b")).distinct())
+    return links, degrees.groupBy("sid").agg(F.sum("links").alias("n_links"))
 
 
 def jaccard_join(
@@ -469,11 +499,10 @@ def jaccard_join(
     Documents are sets of runs of ``words`` words. Those with equal sets are one node; nodes with a
     Jaccard similarity of ``threshold`` or more, checked on the whole sets, are linked. ``class_id`` is
     the least doc_id of the connected component, ``n_links`` the number of links that the join found at
-    the document's node (each to a different text; members of a dense bucket are linked to its leaders
-    instead of to each other). Texts without a word (null, empty) are alone, with their own doc_id and
+    the document's node (each to a different text). Texts without a word (null, empty) are alone, with their own doc_id and
     no links; shorter ones than ``words`` words are the set of their one run. Repeated rows share a
-    node. An empty table gives an empty result. No group is expanded into all its pairs: buckets of
-    more than ``bucket`` sets are split again, and members of dense ones meet leaders.
+    node. An empty table gives an empty result. Buckets of more than ``bucket`` sets are split again;
+    in dense ones all pairs are compared, but only counts and links that connect leave the tasks.
     """
     ship_package(spark)
     scratch = Scratch(spark, "jaccard")
@@ -481,8 +510,7 @@ def jaccard_join(
     schema = "doc_id bigint, set_key string, sid bigint, n int, sig binary, shingles binary"
     rows = scratch.save(one.mapInArrow(_set_rows(words), schema))
     sets = scratch.save(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("first_id")))
-    links = similar_sets(spark, rows, sets, scratch, threshold, recall, bucket)
-    counted = links.select(F.col("a").alias("sid")).unionByName(links.select(F.col("b").alias("sid"))).groupBy("sid").agg(F.count(F.lit(1)).alias("n_links"))
+    links, counted = similar_sets(spark, rows, sets, scratch, threshold, recall, bucket)
     members = connected_components(spark, links)
     known = sets.select("sid", "first_id").join(members.withColumnRenamed("node", "sid"), "sid", "left").join(counted, "sid", "left")
     known = scratch.save(known.select("sid", "first_id", F.coalesce("component", "sid").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))

@@ -195,6 +195,21 @@ def test_bridged_dense_clusters_are_one_class(spark, monkeypatch):
     assert joined(spark, rows)[0] == want
 
 
+def test_all_links_of_dense_groups_are_counted(spark, monkeypatch):
+    """Pairs that the search finds too, within a group and out of it, count once."""
+    rows, pairs = bridged_clusters()
+    rows += [(500, rows[5][1] + " one more"), (501, rows[6][1])]
+    with_search(monkeypatch, [*pairs, (5, 500), (62, 64), (0, 500)], [(i, 0) for i in range(66)] + [(i, 31) for i in range(31, 70)])
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    degree = true_classes(rows)[1]
+    # Of the links of 500, outside the group, the search finds two.
+    near = {i for i, _ in rows if i not in (500, 5, 0)}
+    got = joined(spark, rows)[1]
+    outside = true_classes([r for r in rows if r[0] != 500])[1]
+    assert {i: got[i] for i in near} == {i: outside[i] for i in near}
+    assert got[500] == 2 and got[5] == outside[5] + 1 and got[0] == outside[0] + 1 and degree[500] > 2
+
+
 def test_blocks_count_common_shingles_exactly():
     import pyarrow as pa
 
