@@ -159,7 +159,7 @@ _ENTRY = "key bigint, sid bigint, s1 bigint, s2 bigint"
 _FIELDS = ("key", "sid", "s1", "s2")
 
 
-def _first_entries(runs: int, threshold: float):
+def _first_entries(runs: range, threshold: float):
     def entries(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -167,7 +167,7 @@ def _first_entries(runs: int, threshold: float):
             sids = b.column(0).to_numpy()
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(len(sids), -1)
             bits = sketches(sig)
-            for run in range(runs):
+            for run in runs:
                 for j in _root(run, sig.shape[1]):
                     with np.errstate(over="ignore"):
                         keys = _mix(_mix(np.full(len(sids), (run << 16) | j, _U)) ^ sig[:, j].astype(_U))
@@ -303,11 +303,16 @@ def _stars(large: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFr
 
 
 class _Search:
-    """The recursion over one corpus of sets."""
+    """The recursion over one corpus of sets.
+
+    After ``run``, ``depth`` is the number of splits of the deepest buckets, and ``deep`` holds the
+    ``sid`` of sets in buckets that were split on below the depth of ``STAR``, or is None.
+    """
 
     def __init__(self, spark: SparkSession, sets: DataFrame, scratch: Scratch, threshold: float, bucket: int):
         self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.sets, self.scratch, self.threshold, self.bucket = sets, scratch, threshold, bucket
+        self.depth, self.deep = START, None
 
     def split(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs within small buckets, and the entries of large ones."""
@@ -347,9 +352,12 @@ class _Search:
                 if thin.limit(1).count() == 0:
                     break
                 large = thin
+                if self.deep is None:
+                    self.deep = self.scratch.save(thin.select("sid").distinct())
             sigs = self.signed(large) if sigs is None else sigs
             splits = 1 if depth < STAR else 2
             entries, depth = self.deepen(large, sigs, splits), depth + splits
+            self.depth = depth
         union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
         return union(found), union(dense) if dense else None
 
@@ -470,12 +478,22 @@ def similar_sets(
 ) -> tuple[DataFrame, DataFrame]:
     """Links ``(a, b)``, a < b, between ``sets(sid, sig)`` whose shingles are in ``rows``; and ``sid, n_links`` of sets with links.
 
-    Members of dense buckets meet leaders, and then all members of their group, block by block; of
+    Sets in buckets that go on splitting get as many more runs as the depth reached takes for the
+    recall. Members of dense buckets meet leaders, and then all members of their group, block by block; of
     the links found there as many are kept as connect the same sets, but all are counted.
     """
-    search = _Search(spark, sets, scratch, threshold, bucket)
-    entries = scratch.save(sets.mapInArrow(_first_entries(runs_for(recall), threshold), _ENTRY))
-    pairs, dense = search.run(entries)
+    found, thick, todo, done, needed = [], [], sets.select("sid", "sig"), 0, runs_for(recall)
+    while done < needed:
+        search = _Search(spark, todo, scratch, threshold, bucket)
+        some, crowded = search.run(scratch.save(todo.mapInArrow(_first_entries(range(done, needed), threshold), _ENTRY)))
+        found.append(some)
+        thick.extend([] if crowded is None else [crowded])
+        done = needed
+        if search.deep is not None:  # a pair survives more splits less often
+            needed = runs_for(recall, search.depth)
+            todo = scratch.save(todo.join(search.deep.hint("merge"), "sid", "left_semi"))
+    union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
+    pairs, dense = union(found), union(thick) if thick else None
     links = _verified(scratch.save(pairs), rows, scratch, threshold)
     degrees = _degrees(links)
     if dense is not None:

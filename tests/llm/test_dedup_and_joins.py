@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -174,12 +175,13 @@ def bridged_clusters():
     return [(i, " ".join(t)) for i, t in enumerate(left + right + twins)], pairs
 
 
-def with_search(monkeypatch, pairs, dense):
+def with_search(monkeypatch, rows, pairs, dense):
     """Sets these pairs and dense buckets, by doc_id, in place of those that the search finds."""
 
     def run(self, entries):
-        sid = {r["first_id"]: r["sid"] for r in self.sets.select("first_id", "sid").collect()}
         spark = self.sets.sparkSession
+        known = {r["sid"] for r in self.sets.select("sid").collect()}
+        sid = {i: s for i, s in ((i, int.from_bytes(xxhash.xxh3_128(jaccard_join.shingle_set(t).tobytes()).digest()[:8], "little", signed=True)) for i, t in rows) if s in known}
         ends = [sorted((sid[a], sid[b])) for a, b in pairs]
         return spark.createDataFrame(ends, "a long, b long"), spark.createDataFrame([(sid[i], sid[lead]) for i, lead in dense], "sid long, lead long")
 
@@ -190,7 +192,7 @@ def test_bridged_dense_clusters_are_one_class(spark, monkeypatch):
     rows, pairs = bridged_clusters()
     want = true_classes(rows)[0]
     assert set(want.values()) == {0}
-    with_search(monkeypatch, pairs, [(i, 0) for i in range(66)] + [(i, 31) for i in range(31, 70)])
+    with_search(monkeypatch, rows, pairs, [(i, 0) for i in range(66)] + [(i, 31) for i in range(31, 70)])
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     assert joined(spark, rows)[0] == want
 
@@ -199,7 +201,7 @@ def test_all_links_of_dense_groups_are_counted(spark, monkeypatch):
     """Pairs that the search finds too, within a group and out of it, count once."""
     rows, pairs = bridged_clusters()
     rows += [(500, rows[5][1] + " one more"), (501, rows[6][1])]
-    with_search(monkeypatch, [*pairs, (5, 500), (62, 64), (0, 500)], [(i, 0) for i in range(66)] + [(i, 31) for i in range(31, 70)])
+    with_search(monkeypatch, rows, [*pairs, (5, 500), (62, 64), (0, 500)], [(i, 0) for i in range(66)] + [(i, 31) for i in range(31, 70)])
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     degree = true_classes(rows)[1]
     # Of the links of 500, outside the group, the search finds two.
@@ -210,6 +212,20 @@ def test_all_links_of_dense_groups_are_counted(spark, monkeypatch):
     assert got[500] == 2 and got[5] == outside[5] + 1 and got[0] == outside[0] + 1 and degree[500] > 2
 
 
+def test_recall_of_pairs_within_a_large_template_group(spark):
+    """Near pairs at the threshold among texts that share a template, whose buckets are large and not dense until deep."""
+    rng = random.Random(21)
+    template, rows = [f"w{i}" for i in range(140)], []
+    for g in range(100):
+        own = [f"x{rng.random()}".replace(".", "_") for _ in range(60)]
+        twin = [f"y{g}_{k}" if k in (6, 20, 34, 48) else w for k, w in enumerate(own)]
+        rows += [(2 * g, " ".join(template + own)), (2 * g + 1, " ".join(template + twin))]
+    want = true_classes(rows)[0]
+    assert len(set(want.values())) == 100
+    got = joined(spark, rows, recall=0.9, bucket=2)[0]
+    assert sum(got[2 * g + 1] == 2 * g for g in range(100)) >= 98  # 97 with the runs for depth 3 only
+
+
 def test_blocks_count_common_shingles_exactly():
     import pyarrow as pa
 
