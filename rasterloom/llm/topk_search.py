@@ -168,7 +168,8 @@ def search_top_k(
         valid = df.select(F.col(f"`{vec_id}`").cast("bigint").alias("vec_id"), whole_vector(F.col(f"`{embedding}`"), scale).alias("vec"))
         return valid.where("vec IS NOT NULL AND vec_id IS NOT NULL").withColumn("dim", F.size("vec"))
 
-    asked = scratch.save(ready(queries).select(F.col("vec_id").alias("query_id"), "vec", "dim"))
+    # A repeated query row is one query, or its hits would count twice.
+    asked = scratch.save(ready(queries).select(F.col("vec_id").alias("query_id"), "vec", "dim").dropDuplicates(["query_id", "vec"]))
     points = scratch.save(ready(vectors))
     shards = max(min_shards, -(-points.count() // shard_rows))
     blocks = max(1, -(-asked.count() // block))
@@ -189,7 +190,7 @@ def search_top_k(
     early = scratch.save(meet(sharded, first, ("shard", "dim")))
     kth = early.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
     kth = kth.select("query_id", F.when(F.col("n") >= k, F.col("kth").cast("double")).alias("kth"))
-    known = asked.dropDuplicates(["query_id", "vec"]).join(kth, "query_id", "left")
+    known = asked.join(kth, "query_id", "left")
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != pilot)
     spread = known.select("query_id", "vec", "dim", "kth", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(others).alias("shard"))
     copies = sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

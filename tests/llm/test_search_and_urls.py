@@ -32,6 +32,19 @@ def test_exact_with_copies_ties_and_bad_vectors(spark):
     assert run(spark, rows, shard_rows=200, min_shards=3, block=7) == brute(rows)
 
 
+def test_repeated_query_rows_lose_no_neighbour(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(1, 60)]
+    rows += [(100 * i, v) for i in range(1, 30) for v in [rng.normal(size=6).tolist()] for _ in range(2)]
+    ids = {i for i, _ in rows}
+    whole = {i: np.floor(1024 * np.float32(v).astype(np.float64)) for i, v in rows}
+    want = set()
+    for q in (i for i in ids if i % 100 == 0):
+        hits = sorted((-int(whole[q] @ whole[i]), i) for i in ids if i != q)[:10]
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(hits, 1)}
+    assert run(spark, rows, min_shards=8) == want
+
+
 def test_few_candidates_other_lengths_and_empty_tables(spark):
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (100, [1.0]), (3, [2.0])]
     assert run(spark, rows) == brute(rows) == {(0, 1, 1, 1572864), (100, 1, 3, 2097152)}
