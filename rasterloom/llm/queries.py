@@ -143,11 +143,11 @@ m AS ({_matches_sql('assign', _ASSIGN_SQL, 2)} UNION ALL {_matches_sql('access',
 s AS (SELECT *, CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS stop FROM m),
 p AS (SELECT rid, kind, stop - length(whole) AS start, stop, val FROM s),
 base AS (SELECT * FROM p WHERE kind <> 'owned' AND (kind <> 'assign' OR length(val) >= {secret_scan.ASSIGN_MIN})),
-bare AS (SELECT * FROM p WHERE kind = 'owned' AND length(val) <= 256 AND length(regexp_replace(val, '[^A-Za-z]', '', 'g')) >= 4 AND length(regexp_replace(val, '[^0-9]', '', 'g')) >= 4
+bare AS (SELECT * FROM p WHERE kind = 'owned' AND length(regexp_replace(val, '[^A-Za-z]', '', 'g')) >= 4 AND length(regexp_replace(val, '[^0-9]', '', 'g')) >= 4
   AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = p.rid AND b.start < p.stop AND p.start < b.stop)),
 c AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
 o AS (SELECT val, count(DISTINCT own) AS owners, count(DISTINCT repo) AS repos FROM c JOIN d USING (rid) GROUP BY val),
-j AS (SELECT c.*, owners < 2 AND repos < 10 AS live, CASE kind WHEN 'assign' THEN 1 WHEN 'access' THEN 2 WHEN 'hex' THEN 3 ELSE 4 END AS k FROM c JOIN o USING (val)),
+j AS (SELECT c.*, owners < 3 AND repos < 10 AS live, CASE kind WHEN 'assign' THEN 1 WHEN 'access' THEN 2 WHEN 'hex' THEN 3 ELSE 4 END AS k FROM c JOIN o USING (val)),
 a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) FILTER (k < 4) AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k, stop) FILTER (k < 4 OR live) AS al,
   count(*) FILTER (k < 4 AND live) AS n_live, count(*) FILTER (k < 4 AND NOT live) AS n_example FROM j GROUP BY rid)
