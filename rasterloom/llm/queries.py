@@ -62,7 +62,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.dedup_batch(_read(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
+    docs = _read(spark, sf_dir, "documents")
+    return exact_dedup.dedup_batch(docs, exact_dedup.fresh_index(spark, docs=docs))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
