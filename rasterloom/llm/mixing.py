@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.shared import unit_hash
+from rasterloom.llm.shared import Scratch, unit_hash
 
 #: Poisson means above this are drawn as a sum of equal parts, so that exp(-mean) never underflows.
 MAX_PART = 64.0
@@ -75,8 +75,8 @@ def mix_sources(
     method's sampling. An empty table gives an empty mixture.
     """
     docs = docs.drop("mix_source", "mix_docs", "mix_rate", "mix_n", "replica", "shuffle_key")
-    rates = source_rates(docs, source, weights, temperature, epochs)
-    few = docs.select(F.col(f"`{source}`")).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
+    rates = Scratch(spark, "rates").save(source_rates(docs, source, weights, temperature, epochs))  # documents are counted once
+    few = rates.count() <= broadcast_sources
     rated = docs.join(F.broadcast(rates) if few else rates, F.col(f"`{source}`").eqNullSafe(F.col("mix_source")))
     key = F.col(f"`{doc_id}`")
     count = poisson_count(F.col("mix_rate"), F.lit(seed), key)
