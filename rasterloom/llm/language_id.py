@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.shared import Scratch, only, unit_hash
+from rasterloom.llm.shared import only, unit_hash
 from rasterloom.session import ship_package
 
 PROFILE = 1000  #: n-grams of a language's profile
@@ -120,21 +120,17 @@ def learn_profiles(spark: SparkSession, labelled: DataFrame, size: int = PROFILE
     """
     ship_package(spark)
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
+    if labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    large = [(r["lang"], min(1.0, sample / r["count"])) for r in sizes if r["count"] > sample]
-    share = F.lit(1.0)
-    for lang, part in large:
-        share = F.when(F.col("lang") == lang, F.lit(part)).otherwise(share)
-    chosen = labelled.where(unit_hash(F.lit(seed), F.col("key")) < share).select("lang", "text")
+    # As many rows as there are languages, which was just checked.
+    shares = F.broadcast(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count(F.lit(1))).alias("share")))
+    chosen = labelled.join(shares, "lang").where(unit_hash(F.lit(seed), F.col("key")) < F.col("share")).select("lang", "text")
     counted = chosen.mapInArrow(_count_ngrams, "lang string, code bigint, n bigint")
-    totals = Scratch(spark, "ngrams").save(counted.groupBy("lang", "code").agg(F.sum("n").alias("n")))
-    ranked = {}
-    for lang in sorted(r["lang"] for r in sizes):
-        top = totals.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(size).select("code").collect()
-        if top:
-            ranked[lang] = [r["code"] for r in top]
+    totals = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")).alias("place")
+    ranked: dict[str, list[int]] = {}
+    for r in totals.select("lang", "code", place).where(F.col("place") <= size).orderBy("lang", "place").select("lang", "code").collect():
+        ranked.setdefault(r["lang"], []).append(r["code"])
     return Profiles(ranked, size)
 
 
