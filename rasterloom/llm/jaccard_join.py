@@ -148,8 +148,8 @@ def _set_rows(words: int):
                     sigs.append(signature(s).tobytes())
                     sets.append(np.unique((s >> _U(32)).astype("<u4")).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys, pa.string()), pa.array(sids, pa.int64()), pa.array(counts, pa.int32()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())],
-                    ["doc_id", "set_key", "sid", "n", "sig", "shingles"],
+                    [part.column(0), pa.array(keys, pa.string()), pa.array(sids, pa.int64()), pa.array(counts, pa.int32()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary()), *part.columns[2:]],
+                    ["doc_id", "set_key", "sid", "n", "sig", "shingles", *part.schema.names[2:]],
                 )
 
     return rows
@@ -510,31 +510,33 @@ def similar_sets(
 
 def jaccard_join(
     spark: SparkSession, docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL,
-    bucket: int = BUCKET, text: str = "text", doc_id: str = "doc_id",
+    bucket: int = BUCKET, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """A row for each document: ``doc_id, class_id, n_links, set_key``.
+    """A row for each document: ``doc_id, class_id, n_links, set_key, component``, and the columns ``keep``.
 
     Documents are sets of runs of ``words`` words. Those with equal sets are one node; nodes with a
     Jaccard similarity of ``threshold`` or more, checked on the whole sets, are linked. ``class_id`` is
     the least doc_id of the connected component, ``n_links`` the number of links that the join found at
-    the document's node (each to a different text). Texts without a word (null, empty) are alone, with their own doc_id and
-    no links; shorter ones than ``words`` words are the set of their one run. Repeated rows share a
+    the document's node (each to a different text). ``component`` tells components apart also where
+    doc_ids repeat. Texts without a word (null, empty) are alone, with their own doc_id, no links and
+    no component; shorter ones than ``words`` words are the set of their one run. Repeated rows share a
     node. An empty table gives an empty result. Buckets of more than ``bucket`` sets are split again;
     in dense ones all pairs are compared, but only counts and links that connect leave the tasks.
     """
     ship_package(spark)
     scratch = Scratch(spark, "jaccard")
-    one = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    one = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)))
     schema = "doc_id bigint, set_key string, sid bigint, n int, sig binary, shingles binary"
-    rows = scratch.save(one.mapInArrow(_set_rows(words), schema))
+    rows = scratch.save(one.mapInArrow(_set_rows(words), ", ".join((schema, *(f"kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))))))
     sets = scratch.save(rows.where("sid IS NOT NULL").groupBy("sid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("first_id")))
     links, counted = similar_sets(spark, rows, sets, scratch, threshold, recall, bucket)
     members = connected_components(spark, links)
     known = sets.select("sid", "first_id").join(members.withColumnRenamed("node", "sid"), "sid", "left").join(counted, "sid", "left")
     known = scratch.save(known.select("sid", "first_id", F.coalesce("component", "sid").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     firsts = scratch.save(known.groupBy("component").agg(F.min("first_id").alias("class_id")))
-    classes = scratch.save(known.join(firsts, "component").select("sid", "class_id", "n_links"))
-    ids = rows.select("doc_id", "sid", "set_key")
-    with_words = ids.where("sid IS NOT NULL").join(classes, "sid").select("doc_id", "class_id", "n_links", "set_key")
-    without = ids.where("sid IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "set_key")
-    return with_words.unionByName(without)
+    classes = scratch.save(known.join(firsts, "component").select("sid", "class_id", "n_links", "component"))
+    kept = [F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)]
+    columns = ["doc_id", "class_id", "n_links", "set_key", "component", *kept]
+    with_words = rows.where("sid IS NOT NULL").drop("n", "sig", "shingles").join(classes, "sid").select(*columns)
+    alone = rows.where("sid IS NULL").withColumns({"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("bigint"), "component": F.lit(None).cast("bigint")})
+    return with_words.unionByName(alone.select(*columns))
