@@ -25,15 +25,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, white space aside, by the digest index."""
-    return exact_dedup.keep_first(only(docs, *COLUMNS), exact_dedup.fresh_index(spark))
+    return exact_dedup.keep_first(only(docs, *COLUMNS), exact_dedup.fresh_index(spark, docs=docs))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the least doc_id; rows without an id stay."""
-    rows = only(docs, *COLUMNS)
-    classes = jaccard_join.jaccard_join(spark, rows)
-    gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return rows.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each class of near copies, that with the least doc_id (a null one last); texts without a word all stay.
+
+    Rows are told apart by doc_id and text, so a doc_id that several texts have decides for none but
+    its own; rows that are alike in both stay or go together.
+    """
+    rows = only(docs, *COLUMNS).withColumn("row_key", F.sha2(F.to_json(F.struct("doc_id", "text")), 256))
+    classes = jaccard_join.jaccard_join(spark, rows, keep=("row_key",)).where("component IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")
+    stay = classes.groupBy("component").agg(F.min(order).alias("first"))
+    gone = classes.join(stay, "component").where("row_key <> first.row_key").select("row_key").distinct()
+    return rows.join(gone, "row_key", "left_anti").select(*COLUMNS)
 
 
 def target_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
