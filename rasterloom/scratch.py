@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -37,7 +39,6 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._at: dict[int, str] = {}
         atexit.register(_remove, spark, self.path)
 
     def new_path(self) -> str:
@@ -48,10 +49,10 @@ class Scratch:
         path = self.new_path()
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._at[id(out)] = path
+        out._scratch_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self._at.pop(id(df), None)
+        path = df.__dict__.pop("_scratch_path", None)
         if path:
             _remove(self.spark, path)
