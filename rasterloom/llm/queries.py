@@ -109,18 +109,48 @@ def _rule_sql(host: str, path: str, column: int) -> str:
 
 _HOST = "translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
-_KEY = f"{_HOST} || regexp_replace({_PATH}, '/+$', '')"
+
+
+def _plain_sql(path: str) -> str:
+    step = "lambda p, q: CASE WHEN q[1] = '..' THEN p[1:greatest(len(p) - 1, 1)] WHEN q[1] = '.' THEN p ELSE list_concat(p, q) END"
+    return f"CASE WHEN regexp_matches({path}, '{url_filter._DOTS}') THEN array_to_string(list_reduce(list_transform(string_split({path}, '/'), lambda x: [x]), {step}), '/') ELSE {path} END"
+
+
+def _key_sql(url: str) -> str:
+    return f"{_HOST.format(url)} || regexp_replace({_plain_sql(_PATH.format(url))}, '/+$', '') || regexp_extract({url}, '(?s)^.*?://[^/?#]*[^?#]*(\\?[^#]+)', 1)"
+
+
+def _resolve_sql(base: str, ref: str) -> str:
+    origin, folder = f"regexp_extract({base}, '(?s)^(.*?://[^/?#]*)', 1)", f"regexp_extract({_PATH.format(base)}, '(?s)^(.*/)', 1)"
+    return (
+        f"CASE WHEN {ref} = '' THEN NULL WHEN regexp_matches({ref}, '{url_filter._SCHEME}') THEN CASE WHEN regexp_matches({ref}, '{url_filter._ABSOLUTE}') THEN {ref} END "
+        f"WHEN starts_with({ref}, '//') THEN 'http:' || {ref} WHEN starts_with({ref}, '/') THEN {origin} || {ref} WHEN starts_with({ref}, '?') THEN {origin} || {_PATH.format(base)} || {ref} "
+        f"ELSE {origin} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {ref} END"
+    )
+
+
+def _value_sql(tag: str, name: str) -> str:
+    pattern = url_filter._VALUE.format(name).replace("'", "''")
+    return "(" + " || ".join(f"regexp_extract({tag}, '{pattern}', {i})" for i in (1, 2, 3)) + ")"
+
+
+def _tags_sql(pattern: str, only: str) -> str:
+    return f"list_filter(regexp_extract_all(html, '{pattern}'), lambda x: regexp_matches(x, '{only}'))".replace("x, '" + only, "x, '" + only.replace("'", "''"))
+
+
+_REF = "trim(regexp_replace(regexp_replace({0}, '(?s)#.*$', ''), '&(amp|#38|#[xX]26);', '&', 'g'))"
 _OP3 = rf"""
-WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-h AS (SELECT page_id, url, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_KEY.format('url', 'url')} AS key,
-  [regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b'))[1], '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-   regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1], '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)] AS links FROM u),
-t AS (SELECT key AS a, url, replace(unnest(links), '&amp;', '&') AS l FROM h WHERE contains(url, '://')),
-t2 AS (SELECT a, CASE WHEN l = '' THEN NULL WHEN contains(l, '://') THEN l WHEN starts_with(l, '//') THEN 'http:' || l WHEN starts_with(l, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || l END AS l FROM t),
-e AS (SELECT a, {_KEY.format('l', 'l')} AS b FROM t2 WHERE l IS NOT NULL), ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE u AS (SELECT page_id, coalesce(url, '') AS url, regexp_replace(coalesce(html, ''), '{url_filter._COMMENT}', '', 'g') AS html FROM pages),
+h AS (SELECT page_id, url, html, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_key_sql('url')} AS key FROM u),
+l AS (SELECT key AS a, url, {_REF.format("coalesce(list_transform(regexp_extract_all(html, '" + url_filter._BASE + "'), lambda x: " + _value_sql('x', 'href') + ")[1], '')")} AS base,
+  unnest(list_concat(list_transform({_tags_sql(url_filter._LINK, url_filter._IS_CANONICAL)}, lambda x: {_value_sql('x', 'href')}),
+    list_transform({_tags_sql(url_filter._META, url_filter._IS_REFRESH)}, lambda x: regexp_extract({_value_sql('x', 'content')}, '{url_filter._REFRESH_TO.replace("'", "''")}', 1)))) AS ref FROM h WHERE contains(url, '://')),
+l2 AS (SELECT a, coalesce({_resolve_sql('url', 'base')}, url) AS base, {_REF.format('ref')} AS ref FROM l),
+t AS (SELECT a, {_resolve_sql('base', 'ref')} AS l FROM l2),
+e AS (SELECT a, {_key_sql('l')} AS b FROM t WHERE l IS NOT NULL), ee AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach(a, root) AS (SELECT a, a FROM ee UNION SELECT ee.b, reach.root FROM reach JOIN ee ON ee.a = reach.a),
 comp AS (SELECT a AS key, min(root) AS root FROM reach GROUP BY a),
-kv AS (SELECT key, root, regexp_extract(key, '(?s)^([^/]*)', 1) AS kh, regexp_extract(key, '(?s)^[^/]*(.*)$', 1) AS kp FROM comp),
+kv AS (SELECT key, root, regexp_extract(key, '(?s)^([^/?]*)', 1) AS kh, regexp_extract(key, '(?s)^[^/?]*([^?]*)', 1) AS kp FROM comp),
 judged AS (SELECT root, coalesce({_rule_sql('kh', 'kp', 1)}, {_rule_sql('kh', "(kp || '/')", 1)}) AS v FROM kv),
 best AS (SELECT root, CASE WHEN bool_or(v = 'allow') THEN 'allow' WHEN bool_or(v = 'block') THEN 'block' END AS v FROM judged GROUP BY root),
 r AS (SELECT page_id, host, path, key, {_rule_sql('host', 'path', 0)} AS rule, {_rule_sql('host', 'path', 1)} AS verdict FROM h)

@@ -21,9 +21,14 @@ RULES = (
 )
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The first link element with rel=canonical, and the target of the first meta refresh.
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
+#: Elements that name another address of the page, and their attributes (quoted with either mark, or bare).
+_COMMENT, _LINK, _META, _BASE = r"(?s)<!--.*?-->", r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>", r"(?is)<base\b[^>]*>"
+_IS_CANONICAL = r"""(?is)\srel\s*=\s*("[^"]*\bcanonical\b|'[^']*\bcanonical\b|canonical\b)"""
+_IS_REFRESH = r"""(?is)\shttp-equiv\s*=\s*["']?\s*refresh\b"""
+_VALUE = r"""(?is)\s{0}\s*=\s*(?:"([^"]*)|'([^']*)|([^"'\s>]+))"""
+_REFRESH_TO = r"""(?is)\burl\s*=\s*["']?([^"']*)"""
+#: An address with a scheme; one whose scheme is that of a host; a path with segments to resolve.
+_SCHEME, _ABSOLUTE, _DOTS = r"^[A-Za-z][A-Za-z0-9+.-]*:", r"^[A-Za-z][A-Za-z0-9+.-]*://", r"(^|/)\.\.?(/|$)"
 
 
 def url_host(url: Column) -> Column:
@@ -46,29 +51,59 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
     return rule, verdict
 
 
+def plain_path(path: Column) -> Column:
+    """The path with its ``.`` and ``..`` segments resolved."""
+
+    def step(acc: Column, segment: Column) -> Column:
+        up = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))
+        return F.when(segment == "..", up).when(segment == ".", acc).otherwise(F.concat(acc, F.array(segment)))
+
+    return F.when(path.rlike(_DOTS), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")).otherwise(path)
+
+
 def alias_key(url: Column) -> Column:
-    """What two spellings of one address share: host and path, without scheme, query, fragment or closing slash."""
-    return F.concat(url_host(url), F.regexp_replace(url_path(url), "/+$", ""))
+    """What two spellings of one address share: host, path and query, without scheme, fragment or the path's closing slash."""
+    query = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]+)", 1)
+    return F.concat(url_host(url), F.regexp_replace(plain_path(url_path(url)), "/+$", ""), query)
+
+
+def resolve(base: Column, ref: Column) -> Column:
+    """The absolute address that ``ref`` names on a page at ``base``; null for an empty one and for schemes without a host."""
+    ref = F.trim(F.regexp_replace(F.regexp_replace(ref, r"(?s)#.*$", ""), r"&(amp|#38|#[xX]26);", "&"))
+    origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_extract(url_path(base), r"(?s)^(.*/)", 1)
+    return (
+        F.when(ref == "", None)
+        .when(ref.rlike(_SCHEME), F.when(ref.rlike(_ABSOLUTE), ref))
+        .when(ref.startswith("//"), F.concat(F.lit("http:"), ref))
+        .when(ref.startswith("/"), F.concat(origin, ref))
+        .when(ref.startswith("?"), F.concat(origin, url_path(base), ref))
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), ref))
+    )
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.concat(*(F.regexp_extract(tag, _VALUE.format(name), i) for i in (1, 2, 3)))
 
 
 def page_edges(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """``(a, b)``: address keys of a page and of what its canonical link or meta refresh names."""
+    """``(a, b)``: address keys of a page and of all that its canonical links and meta refreshes name.
+
+    Targets are resolved against the page's address or its first ``base`` element; comments don't count.
+    """
     at = F.col(f"`{url}`")
-    base = F.regexp_extract(F.coalesce(at, F.lit("")), r"(?s)^(.*?://[^/?#]*)", 1)
-    text = F.coalesce(F.col(f"`{html}`"), F.lit(""))
-
-    def target(pattern: str) -> Column:
-        to = F.replace(F.regexp_extract(text, pattern, 1), F.lit("&amp;"), F.lit("&"))
-        return (
-            F.when(to == "", None)
-            .when(to.contains("://"), to)
-            .when(to.startswith("//"), F.concat(F.lit("http:"), to))
-            .when(to.startswith("/"), F.concat(base, to))
-        )
+    rows = pages.where(at.contains("://") & F.col(f"`{html}`").rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b"))
+    rows = rows.select(at.alias("url"), F.regexp_replace(F.col(f"`{html}`"), _COMMENT, "").alias("html"))
+
+    def tags(pattern: str) -> Column:
+        return F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
 
-    linked = F.array_compact(F.array(target(_CANONICAL), target(_REFRESH)))
-    rows = pages.where(at.contains("://") & text.rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b"))
-    return rows.select(alias_key(at).alias("a"), F.explode(linked).alias("to")).select("a", alias_key(F.col("to")).alias("b"))
+    links = F.transform(F.filter(tags(_LINK), lambda t: t.rlike(_IS_CANONICAL)), lambda t: _attribute(t, "href"))
+    turns = F.transform(F.filter(tags(_META), lambda t: t.rlike(_IS_REFRESH)), lambda t: F.regexp_extract(_attribute(t, "content"), _REFRESH_TO, 1))
+    first = F.coalesce(F.try_element_at(F.transform(tags(_BASE), lambda t: _attribute(t, "href")), F.lit(1)), F.lit(""))
+    rows = rows.select("url", F.coalesce(resolve(F.col("url"), first), "url").alias("base"), F.explode(F.concat(links, turns)).alias("ref"))
+    named = rows.select(alias_key(F.col("url")).alias("a"), resolve(F.col("base"), F.col("ref")).alias("to")).where("to IS NOT NULL")
+    return named.select("a", alias_key(F.col("to")).alias("b"))
 
 
 def filter_urls(
@@ -84,7 +119,7 @@ def filter_urls(
     """Verdict of every page's URL: ``page_id, url, host, path, rule, verdict, decided_by``.
 
     A rule that fits the URL itself decides. Otherwise the page takes the decision of its aliases:
-    the connected component of its address over canonical links, meta refreshes and the rows of
+    the connected component of its address (with its query) over canonical links, meta refreshes and the rows of
     ``redirects(from_url, to_url)``. One alias that a rule allows makes the component allowed
     (explicit allow takes precedence), else one that a rule blocks makes it blocked; with neither,
     ``default`` holds. Null or relative URLs have empty host and path, no aliases, and the default.
@@ -103,7 +138,7 @@ def filter_urls(
     else:
         members = connected_components(spark, edges)
         key = F.col("node")
-        host, path = F.regexp_extract(key, "(?s)^([^/]*)", 1), F.regexp_extract(key, "(?s)^[^/]*(.*)$", 1)
+        host, path = F.regexp_extract(key, "(?s)^([^/?]*)", 1), F.regexp_extract(key, "(?s)^[^/?]*([^?]*)", 1)
         # A key has lost its closing slash, which a rule's path may end with.
         _, bare = matching_rule(host, path, rules)
         _, slashed = matching_rule(host, F.concat(path, F.lit("/")), rules)
