@@ -27,8 +27,8 @@ COORDINATES = 128
 BUCKET = 48  #: sets that are compared with each other at once
 BLOCK, COLUMNS = 1024, 8192  #: sets of a block, and shingles counted at once, where dense groups are compared
 SHINGLES = 2_000_000  #: of a block, about
-START, STAR, DEEPEST = 2, 3, 12  #: splits before buckets are looked at, before dense ones are left, and at most
-PROBES, DENSE = 6, 0.5  #: random members that leaders are chosen by, and the share near a leader that makes a bucket dense
+WHOLET, WHOLE, DEEPEST = 2, 3, 12  #: splits before buckets are looked at, before dense ones are compared whole, and at most
+PROBES, DENSE = 6, 0.5  #: random members that a leader is chosen by, and the share near it that makes a bucket dense
 
 ROWS = 2000  #: rows that Python holds at once
 
@@ -97,7 +97,7 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)[:, :16].copy().view(np.int64)
 
 
-def runs_for(recall: float, depth: int = STAR) -> int:
+def runs_for(recall: float, depth: int = WHOLE) -> int:
     """Runs until a pair at the threshold is missed with probability below 1 - recall.
 
     A pair survives one split with the probability that at least one of about Poisson(1) children
@@ -172,7 +172,7 @@ def _first_entries(runs: range, threshold: float):
                     with np.errstate(over="ignore"):
                         keys = _mix(_mix(np.full(len(sids), (run << 16) | j, _U)) ^ sig[:, j].astype(_U))
                     at = np.arange(len(sids))
-                    for _ in range(START - 1):
+                    for _ in range(WHOLET - 1):
                         more, keys = _children(keys, sig[at], threshold)
                         at = at[more]
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sids[at]), pa.array(bits[at, 0]), pa.array(bits[at, 1])], list(_FIELDS))
@@ -270,13 +270,12 @@ def _most_bits(threshold: float, deviations: float, n: int = COORDINATES) -> int
     return int(p * n + deviations * math.sqrt(p * (1 - p) * n))
 
 
-def _stars(large: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For buckets too large to compare: pairs of members with leaders, members of dense buckets (``sid, lead``), and the entries of others.
+def _dense(large: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of buckets too large to compare: the members of dense ones (``sid, lead``), and the entries of the others.
 
-    Leaders are the member with the least total distance to a few random members (close to the
-    medoid, so a group of copies of one text meets that text) and two of the random ones. Random
-    orders don't depend on the bucket, so that buckets of one group share leaders. A bucket is dense
-    if most members are near its first leader.
+    The leader of a bucket is the member with the least total distance to a few random members, close
+    to the medoid. A bucket is dense if most members are near its leader. A leader only names its
+    bucket's group, in which all members meet.
     """
     entry = F.struct("sid", "s1", "s2")
     probes = [F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("o"), entry.alias("e"))).alias(f"p{i}") for i in range(PROBES)]
@@ -285,34 +284,27 @@ def _stars(large: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFr
     total = sum((_differ(F.col("e"), F.col(f"p{i}.e")) for i in range(1, PROBES)), _differ(F.col("e"), F.col("p0.e")))
     # Written first, so that a bucket's members are combined in the tasks that hold them before they meet.
     totals = scratch.save(met.select("key", "e", total.alias("t")))
-    medoids = totals.groupBy("key").agg(F.min(F.struct("t", "e")).alias("m"))
-    leaders = scratch.save(medoids.join(probes, "key").select("key", F.array("m.e", "p0.e", "p1.e").alias("leaders")))
-    near = lambda l, most: _differ(entry, l) <= most
-    members = large.join(leaders, "key").select(
-        *_FIELDS,
-        F.transform("leaders", lambda l: near(l, _most_bits(threshold, 5))).alias("near"),
-        F.transform("leaders", lambda l: l["sid"]).alias("lead"),
-        near(F.col("leaders")[0], _most_bits(threshold, 1)).alias("close"),
-    )
-    members = scratch.save(members)
-    met = F.explode(F.filter(F.arrays_zip("near", "lead"), lambda z: z["near"] & (z["lead"] != F.col("sid"))))
-    pairs = members.select("sid", met.alias("z")).select(F.least("sid", "z.lead").alias("a"), F.greatest("sid", "z.lead").alias("b"))
+    leaders = scratch.save(totals.groupBy("key").agg(F.min(F.struct("t", "e")).alias("m")).select("key", F.col("m.e").alias("leader")))
+    close = _differ(entry, F.col("leader")) <= _most_bits(threshold, 1)
+    members = scratch.save(large.join(leaders, "key").select(*_FIELDS, close.alias("close"), F.col("leader.sid").alias("lead")))
+    scratch.drop(probes)
+    scratch.drop(totals)
     dense = scratch.save(members.groupBy("key").agg(F.avg(F.col("close").cast("double")).alias("share")).where(F.col("share") >= DENSE).select("key"))
-    thick = members.join(dense, "key", "left_semi").select("sid", F.col("lead")[0].alias("lead"))
-    return pairs.distinct(), thick.distinct(), members.join(dense, "key", "left_anti").select(*_FIELDS)
+    thick = members.join(dense, "key", "left_semi").select("sid", "lead")
+    return thick.distinct(), members.join(dense, "key", "left_anti").select(*_FIELDS)
 
 
 class _Search:
     """The recursion over one corpus of sets.
 
     After ``run``, ``depth`` is the number of splits of the deepest buckets, and ``deep`` holds the
-    ``sid`` of sets in buckets that were split on below the depth of ``STAR``, or is None.
+    ``sid`` of sets in buckets that were split on below the depth of ``WHOLE``, or is None.
     """
 
     def __init__(self, spark: SparkSession, sets: DataFrame, scratch: Scratch, threshold: float, bucket: int):
         self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.sets, self.scratch, self.threshold, self.bucket = sets, scratch, threshold, bucket
-        self.depth, self.deep = START, None
+        self.depth, self.deep = WHOLET, None
 
     def split(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs within small buckets, and the entries of large ones."""
@@ -335,16 +327,15 @@ class _Search:
 
     def run(self, entries: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """Candidate pairs, and the members of dense buckets (``sid, lead``), which are not split on."""
-        found, dense, sigs, depth = [], [], None, START
+        found, dense, sigs, depth = [], [], None, WHOLET
         while True:
             pairs, large = self.split(entries)
             self.scratch.drop(entries)
             found.append(pairs)
             if large.limit(1).count() == 0:
                 break
-            if depth >= STAR:
-                stars, thick, thin = _stars(large, self.scratch, self.threshold)
-                found.append(stars)
+            if depth >= WHOLE:
+                thick, thin = _dense(large, self.scratch, self.threshold)
                 dense.append(thick)
                 if depth >= DEEPEST:  # what still isn't small is treated alike
                     dense.append(thin.groupBy("key").agg(F.min("sid").alias("lead")).join(thin, "key").select("sid", "lead"))
@@ -355,7 +346,7 @@ class _Search:
                 if self.deep is None:
                     self.deep = self.scratch.save(thin.select("sid").distinct())
             sigs = self.signed(large) if sigs is None else sigs
-            splits = 1 if depth < STAR else 2
+            splits = 1 if depth < WHOLE else 2
             entries, depth = self.deepen(large, sigs, splits), depth + splits
             self.depth = depth
         union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
@@ -479,8 +470,8 @@ def similar_sets(
     """Links ``(a, b)``, a < b, between ``sets(sid, sig)`` whose shingles are in ``rows``; and ``sid, n_links`` of sets with links.
 
     Sets in buckets that go on splitting get as many more runs as the depth reached takes for the
-    recall. Members of dense buckets meet leaders, and then all members of their group, block by block; of
-    the links found there as many are kept as connect the same sets, but all are counted.
+    recall. Members of dense buckets meet all members of their group, block by block; of the links
+    found there as many are kept as connect the same sets, but all are counted.
     """
     found, thick, todo, done, needed = [], [], sets.select("sid", "sig"), 0, runs_for(recall)
     while done < needed:
