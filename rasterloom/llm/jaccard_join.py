@@ -437,15 +437,26 @@ def _block_links(threshold: float, whole: bool = True):
     return links
 
 
-def _rest_links(dense: DataFrame, rows: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``a, b, links`` of dense groups, and the group of each member (``sid, lead``): every member meets every other, block by block.
+def _groups(dense: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sid, lead``: the group of each member of dense buckets; buckets that share a member are one group.
+
+    A member ties its buckets' leaders to the least of them, so of its many buckets only distinct
+    pairs of leaders go into the search for components.
+    """
+    of = scratch.save(dense.groupBy("sid").agg(F.min("lead").alias("first"), F.collect_set("lead").alias("leads")))
+    ties = of.select("first", F.explode("leads").alias("lead")).distinct().select(F.col("first").alias("a"), F.col("lead").alias("b"))
+    edges = ties.unionByName(of.select(F.col("first").alias("a"), F.col("sid").alias("b")))
+    found = connected_components(dense.sparkSession, edges).select(F.col("node").alias("sid"), F.col("component").alias("lead"))
+    # A leader that is alone in its bucket's group has no edge.
+    return scratch.save(of.select("sid").join(found, "sid", "left").select("sid", F.coalesce("lead", "sid").alias("lead")))
+
+
+def _group_links(grouped: DataFrame, rows: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """``a, b, links`` of dense groups (``sid, lead``): every member meets every other, block by block.
 
     Rows with ``b`` are links that connect what all links of a group connect; rows without are a part
-    of the number of links of the set ``a`` within its group. Buckets that share a member are one
-    group, so a set is in one group only and no pair is compared twice.
+    of the number of links of the set ``a`` within its group. A set is in one group only, so no pair is compared twice.
     """
-    spark = rows.sparkSession
-    grouped = connected_components(spark, dense.select(F.col("lead").alias("a"), F.col("sid").alias("b"))).select(F.col("node").alias("sid"), F.col("component").alias("lead"))
     carried = scratch.save(_one_of_each(rows).join(grouped.hint("merge"), "sid").select("lead", "sid", "s.n", "s.shingles"))
     size = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / SHINGLES)
     groups = scratch.save(carried.groupBy("lead").agg(F.ceil(size).cast("int").alias("blocks")))
@@ -456,7 +467,7 @@ def _rest_links(dense: DataFrame, rows: DataFrame, scratch: Scratch, threshold:
     rest = dealt.withColumn("r", F.col("at")).withColumn("m", F.explode(F.sequence(F.lit(0), F.col("at")))).select(*columns).toDF(*columns)
     keys = columns[:3]
     met = members.groupBy(*keys).cogroup(rest.groupBy(*keys)).applyInArrow(_block_links(threshold, False), "a bigint, b bigint, links bigint")
-    return scratch.save(met), grouped
+    return scratch.save(met)
 
 
 def _degrees(links: DataFrame) -> DataFrame:
@@ -484,17 +495,19 @@ def similar_sets(
             needed = runs_for(recall, search.depth)
             todo = scratch.save(todo.join(search.deep.hint("merge"), "sid", "left_semi"))
     union = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
-    pairs, dense = union(found), union(thick) if thick else None
-    links = _verified(scratch.save(pairs), rows, scratch, threshold)
-    degrees = _degrees(links)
-    if dense is not None:
-        met, grouped = _rest_links(dense, rows, scratch, threshold)
-        grouped = scratch.save(grouped)
+    pairs = scratch.save(union(found))
+    if not thick:
+        links = _verified(pairs, rows, scratch, threshold)
+        degrees = _degrees(links)
+    else:
+        # Pairs within a group are left to its blocks.
+        grouped = _groups(union(thick), scratch)
         ends = [grouped.select(F.col("sid").alias(c), F.col("lead").alias(f"{c}_group")) for c in "ab"]
-        # Links within a group are in its own count.
-        outside = links.join(ends[0], "a", "left").join(ends[1], "b", "left").where("a_group IS NULL OR b_group IS NULL OR a_group <> b_group")
+        outside = pairs.join(ends[0], "a", "left").join(ends[1], "b", "left").where("a_group IS NULL OR b_group IS NULL OR a_group <> b_group")
+        links = _verified(scratch.save(outside.select("a", "b")), rows, scratch, threshold)
+        met = _group_links(grouped, rows, scratch, threshold)
         inside = met.where("b IS NULL").select(F.col("a").alias("sid"), "links")
-        degrees = _degrees(outside).unionByName(inside)
+        degrees = _degrees(links).unionByName(inside)
         links = scratch.save(links.unionByName(met.where("b IS NOT NULL").select("a", "b")).distinct())
     return links, degrees.groupBy("sid").agg(F.sum("links").alias("n_links"))
 

@@ -150,8 +150,8 @@ def test_the_rest_of_dense_groups_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 7)
     monkeypatch.setattr(jaccard_join, "COLUMNS", 100)
     seen = []
-    original = jaccard_join._rest_links
-    monkeypatch.setattr(jaccard_join, "_rest_links", lambda *a: seen.append(original(*a)) or seen[-1])
+    original = jaccard_join._group_links
+    monkeypatch.setattr(jaccard_join, "_group_links", lambda *a: seen.append(original(*a)) or seen[-1])
     got = joined(spark, rows, bucket=3)[0]
     assert got == true_classes(rows)[0] and seen
 
