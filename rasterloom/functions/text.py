@@ -61,6 +61,11 @@ def truncate_head(text: Column, length: int) -> Column:
     return F.when(F.length(text) <= length, text).otherwise(F.concat(F.lit("…"), F.right(text, F.lit(length - 1))))
 
 
+def format_milliseconds(ms: Column) -> Column:
+    """Whole milliseconds under a second, else seconds with two decimals."""
+    return F.when(ms < 1000, F.format_string("%dms", F.floor(ms + 0.5))).otherwise(F.format_string("%.2fs", ms / 1000.0))
+
+
 def clamp_int(v: Column, low: int, high: int) -> Column:
     ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     return F.when(ok, F.greatest(F.lit(low), F.least(F.lit(high), F.floor(v + 0.5)))).otherwise(F.lit(low)).cast("int")

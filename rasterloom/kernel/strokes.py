@@ -23,8 +23,27 @@ def distance_squared(mask: np.ndarray) -> np.ndarray:
     nxt = np.minimum.accumulate(np.where(mask, 2 * h + 1, rows)[::-1], axis=0)[::-1]
     near = np.minimum(np.where(last < 0, FAR, rows - last), np.where(nxt > h, FAR, nxt - rows))
     down = np.where(near >= FAR, FAR, near**2)
-    apart = (np.arange(w)[:, None] - np.arange(w)[None]) ** 2
-    return np.stack([(apart + row[None]).min(axis=1) for row in down]).clip(max=FAR)
+    # Along each row the lower envelope of the parabolas that stand on its columns, one for each column: linear in the pixels.
+    out = np.empty((h, w))
+    at = np.arange(w, dtype=np.float64)
+    for y in range(h):
+        feet = np.flatnonzero(down[y] < FAR)
+        if not len(feet):
+            out[y] = FAR
+            continue
+        base = down[y, feet]
+        hull, starts = [0], [-np.inf]
+        for k in range(1, len(feet)):
+            while True:
+                j = hull[-1]
+                meet = (base[k] + float(feet[k]) ** 2 - base[j] - float(feet[j]) ** 2) / (2.0 * (feet[k] - feet[j]))
+                if meet > starts[-1]:
+                    break
+                hull.pop(), starts.pop()
+            hull.append(k), starts.append(meet)
+        best = np.array(hull)[np.searchsorted(starts, at, side="right") - 1]
+        out[y] = (at - feet[best]) ** 2 + base[best]
+    return out
 
 
 def skeleton(mask: np.ndarray, most: int = 200) -> np.ndarray:

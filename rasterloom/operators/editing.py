@@ -44,3 +44,23 @@ def pending(suggestions: DataFrame, done: DataFrame) -> DataFrame:
     """Suggestions (``keep, absorb``) of which neither colour is in ``done(hex)``, the merged and removed ones."""
     left = suggestions.join(done.select(F.col("hex").alias("absorb")), "absorb", "left_anti")
     return left.join(done.select(F.col("hex").alias("keep")), "keep", "left_anti")
+
+
+def prune_palette(counts: DataFrame, image: str = "image_id") -> DataFrame:
+    """``counts(image_id, idx, cnt)`` of palettes (at most 256 entries each) without unused entries, the rest numbered densely from 0 as ``dense``."""
+    place = F.row_number().over(Window.partitionBy(image).orderBy("idx")) - 1
+    return counts.where("cnt > 0").withColumn("dense", place.cast("int"))
+
+
+def layers(regions: DataFrame, palette: DataFrame) -> DataFrame:
+    """``image_id, rank, hex, name, pieces, area, area_share``: regions by their label's colour, largest first, repeated names numbered.
+
+    ``palette(idx, r, g, b)`` holds the colours of the labels ``k``. An image has at most 256 layers, which bounds its windows.
+    """
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    sums = regions.groupBy("image_id", "k").agg(F.count(F.lit(1)).alias("pieces"), F.sum("area").alias("area"))
+    named = sums.join(palette.withColumnRenamed("idx", "k"), "k").withColumn("name", color.color_name(r, g, b))
+    own = Window.partitionBy("image_id")
+    named = uniquify(named.withColumn("idx", F.row_number().over(own.orderBy(F.desc("area"), "k"))), "image_id")
+    share = F.round(F.col("area") / F.sum("area").over(own), 4)
+    return named.select("image_id", F.col("idx").alias("rank"), color.to_hex(r, g, b).alias("hex"), F.col("label").alias("name"), "pieces", "area", share.alias("area_share"))

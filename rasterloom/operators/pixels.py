@@ -123,3 +123,11 @@ def assign_palette(px: DataFrame, palette: DataFrame) -> DataFrame:
     first = keyed.where("exact IS NULL").groupBy("image_id", "bin").agg(F.min_by(F.struct("r", "g", "b"), "p").alias("c")).select("image_id", "bin", "c.r", "c.g", "c.b")
     near = nearest_entry(first, palette, "image_id", "bin")
     return keyed.join(near, ["image_id", "bin"], "left").select("image_id", "p", F.coalesce("exact", "label").alias("label"))
+
+
+def cluster_means(near: DataFrame) -> DataFrame:
+    """``cluster, weight, lab, red, green, blue``: weighted means in Lab and in RGB (rounded) of colours ``r, g, b, n, label``."""
+    lab = near.withColumn("lab", color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
+    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    whole = [F.floor(mean(c) + 0.5).cast("int").alias(name) for c, name in zip("rgb", ("red", "green", "blue"))]
+    return lab.groupBy(F.col("label").alias("cluster")).agg(F.sum("n").alias("weight"), F.struct(*(mean(f"lab.{c}").alias(c) for c in "Lab")).alias("lab"), *whole)

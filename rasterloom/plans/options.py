@@ -45,6 +45,30 @@ class Options:
 NAMES = tuple(f.name for f in fields(Options))
 
 
+#: Ranges that a user's settings have to be in; the second part of a pair is None where there is no most.
+RANGES = {
+    "max_colors": (1, 256), "detail": (0, 100), "smoothing": (0, 100), "denoise": (0, 100), "color_merge_threshold": (0, 50),
+    "max_dimension": (64, 8192), "precision": (0, 6), "min_area": (1, None), "min_stroke_elongation": (1, 50),
+}
+_WHOLE = ("max_colors", "max_dimension", "precision")
+
+
+def check(overrides: dict) -> None:
+    """Refuses unknown settings, numbers out of range or not whole where they have to be, and unknown choices, with the reason."""
+    for k, v in overrides.items():
+        if k not in NAMES:
+            raise ValueError(f"unknown setting {k!r}")
+        if v is None:
+            continue
+        if k in RANGES:
+            low, high = RANGES[k]
+            if isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) or v < low or high is not None and v > high or k in _WHOLE and v != int(v):
+                raise ValueError(f"{k} has to be {'a whole number' if k in _WHOLE else 'a number'} from {low}" + (f" to {high}" if high is not None else "") + f", not {v!r}")
+        for name, choices in (("background", BACKGROUNDS), ("stroke_mode", STROKE_MODES)):
+            if k == name and v not in choices:
+                raise ValueError(f"{k} has to be one of {', '.join(choices)}, not {v!r}")
+
+
 def clamp_int(value: float, low: int, high: int) -> int:
     if value is None or not math.isfinite(value):
         return low

@@ -44,6 +44,18 @@ def totals(results: DataFrame) -> DataFrame:
     )
 
 
+def by_reason(results: DataFrame) -> DataFrame:
+    """``status, reason, files, output_bytes`` with subtotals by status and the total, where what is summed over is null."""
+    return results.rollup("status", "reason").agg(F.count(F.lit(1)).alias("files"), F.sum("output_bytes").alias("output_bytes"))
+
+
+def existing(tasks: DataFrame, there: DataFrame, reason: str = "the output exists") -> tuple[DataFrame, DataFrame]:
+    """``tasks`` whose ``output_path`` is among those of ``there``, as skipped rows, and the others as they are."""
+    paths = there.select("output_path").distinct()
+    known = tasks.join(paths, "output_path", "left_semi").withColumns({"status": F.lit("skipped"), "reason": F.lit(reason)})
+    return known, tasks.join(paths, "output_path", "left_anti")
+
+
 def batch_summary(results: DataFrame, directory: str = "", wall_ms: float | None = None) -> str:
     """The report of a batch. A batch has at most 500 files, which bounds what comes to the driver."""
     by = {r["status"]: r for r in totals(results).collect()}

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rasterloom.plans.options import PRESETS, resolve
+from rasterloom.plans.options import PRESETS, check, resolve
+from rasterloom.plans.report import existing
+from rasterloom.scratch import Scratch
 from rasterloom.session import ship_package
-from rasterloom.sources.images import discover, read_images, rgba
+from rasterloom.sources.images import MOST_FILES, discover, open_images, output_paths, rgba, wanted_files
 
 _SETTINGS = "struct<max_colors:int,denoise:int,color_merge_threshold:double>"
 ANALYSIS = (
@@ -63,6 +67,32 @@ def layer_rows(traced) -> list[dict]:
     return out
 
 
+#: Fixed value: seconds after which an image fails.
+MOST_SECONDS = 120
+
+
+@contextmanager
+def time_limit(seconds: float) -> Iterator:
+    """Raises TimeoutError within the block after so many seconds. Only a process's main thread can be stopped so; others run on."""
+    import signal
+    import threading
+
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_) -> None:
+        raise TimeoutError(f"took more than {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def _per_image(images: DataFrame, one: Callable, schema: str, keep: Sequence[str] = ()) -> DataFrame:
     """``one(pixels, row)`` gives the rows of an image as dicts; what it raises becomes a row with status ``failed``.
 
@@ -80,12 +110,14 @@ def _per_image(images: DataFrame, one: Callable, schema: str, keep: Sequence[str
 
         arrow = to_arrow_schema(spark_schema)
         for b in batches:
-            for row in b.to_pylist():
+            for i in range(b.num_rows):  # one image at a time becomes Python objects
+                (row,) = b.slice(i, 1).to_pylist()
                 begun = time.perf_counter()
                 try:
                     if row["data"] is None:
                         raise ValueError(row["reason"] or "there is no image")
-                    got = one(rgba(row["data"], row["width"], row["height"], row["channels"]), row)
+                    with time_limit(MOST_SECONDS):
+                        got = one(rgba(row["data"], row["width"], row["height"], row["channels"]), row)
                 except Exception as e:  # one bad image fails alone
                     got = [{"status": "failed", "reason": str(e) or type(e).__name__}]
                 taken = (time.perf_counter() - begun) * 1000
@@ -135,7 +167,8 @@ def trace_with(pixels, preset: str, overrides: dict):
 def vectorize(images: DataFrame, preset: str = "auto", overrides: dict | None = None, format: str | None = "svg", layers: bool = True, min_score: int = 0, output: dict | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Trace every image. Images that score under ``min_score`` are skipped before the trace, with a reason; columns ``keep`` are passed on."""
     given = dict(overrides or {})
-    resolve("logo" if preset == "auto" else preset, given).clamped()  # wrong settings fail here, not on the executors
+    check(given)  # wrong settings fail here, not on the executors
+    resolve("logo" if preset == "auto" else preset, given).clamped()
 
     def one(pixels, row: dict) -> list[dict]:
         if min_score > 0:
@@ -205,36 +238,47 @@ def vectorize_batch(
 ) -> DataFrame:
     """Convert a folder: a row for each file with status ``ok``, ``skipped`` or ``failed``.
 
-    Outputs that exist already are skipped by an anti-join before anything is decoded. A dry run
-    traces but doesn't write. Outputs mirror the input tree and are written by the executors.
+    Outputs that exist already are skipped by an anti-join before anything is decoded, and only planned
+    files are read. A dry run traces but doesn't write. Outputs mirror the input tree and are written
+    by the executors. The rows come by id; ``left_out`` counts the files beyond the limit.
     """
     from rasterloom.sinks import extension
 
     files = discover(spark, directory, paths, recursive=recursive, limit=limit)
     root = (directory or "").rstrip("/")
-    local = F.regexp_replace("path", r"^file:/+", "/")
-    below = F.substring(local, len(root.removeprefix("file:")) + 2, 1 << 30) if root else F.substring_index("path", "/", -1)
-    target = F.concat(F.lit((output or root).rstrip("/") + "/"), F.regexp_replace(below, r"\.[^./]*$", "." + extension(format)))
-    tasks = files.select("id", F.col("path").alias("image_id"), target.alias("output_path"))
+    tasks = files.select("id", F.col("path").alias("image_id"), output_paths(F.col("path"), root, output or root, extension(format)).alias("output_path"))
     skipped = None
     if not overwrite and output:
         try:
             there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(output).select(F.regexp_replace("path", r"^file:/+", "/").alias("output_path"))
-            skipped = tasks.join(there, "output_path", "left_semi").select("id", "image_id", "output_path", F.lit("skipped").alias("status"), F.lit("the output exists").alias("reason"))
-            tasks = tasks.join(there, "output_path", "left_anti")
+            skipped, tasks = existing(tasks, there)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    images = read_images(spark, directory if directory is not None else list(paths), recursive)
-    same = F.regexp_replace("image_id", r"^file:/+", "/")
-    # A batch has at most 500 tasks, so they can be broadcast.
-    todo = images.withColumn("key", same).join(F.broadcast(tasks.select(same.alias("key"), "id", "output_path")), "key")
-    done = vectorize(todo, preset, overrides, format, layers=False, min_score=min_score, keep=("id", "output_path"))
-    result = done.drop("layers", "traced_width", "traced_height", "palette")
-    if not dry_run:
-        result = write_outputs(result)
-    result = result.drop("output")
-    return result if skipped is None else result.unionByName(skipped, allowMissingColumns=True)
+    scratch = Scratch(spark, "batch")
+    tasks = scratch.save(tasks)
+    # A batch has at most 500 tasks, so their paths may come to the driver and the tasks can be broadcast; no other file is decoded.
+    planned = [r["image_id"] for r in tasks.select("image_id").collect()]
+    if planned:
+        same = F.regexp_replace("image_id", r"^file:/+", "/")
+        todo = open_images(spark, planned).withColumn("key", same).join(F.broadcast(tasks.select(same.alias("key"), "id", "output_path")), "key")
+        done = vectorize(todo, preset, overrides, format, layers=False, min_score=min_score, keep=("id", "output_path"))
+        result = done.drop("layers", "traced_width", "traced_height", "palette")
+        result = (result if dry_run else write_outputs(result)).drop("output")
+        # Written once, so that neither reading it twice nor counting traces or writes again.
+        result = scratch.save(result)
+        result = result if skipped is None else result.unionByName(skipped, allowMissingColumns=True)
+    else:
+        empty = spark.createDataFrame([], StructType.fromDDL(f"id int, output_path string, {RESULT}")).drop("layers", "traced_width", "traced_height", "palette", "output")
+        result = empty if skipped is None else empty.unionByName(skipped, allowMissingColumns=True)
+    return result.orderBy("id")
+
+
+def left_out(spark: SparkSession, directory: str | None = None, paths: Sequence[str] | None = None, recursive: bool = False, limit: int = 500) -> int:
+    """How many image files a batch with this limit does not take."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory if directory is not None else list(paths))
+    n = wanted_files(files.select("path"), directory).count()
+    return max(0, n - min(limit, MOST_FILES))
 
 
 def write_outputs(rows: DataFrame) -> DataFrame:
@@ -246,17 +290,21 @@ def write_outputs(rows: DataFrame) -> DataFrame:
 
     def write(batches: Iterator) -> Iterator:
         import os
+        import uuid
 
         import pyarrow as pa
 
-        for b in batches:
+        for b in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
             got = b.to_pylist()
             for r in got:
                 if r["output"] is not None and r["output_path"]:
                     try:
                         os.makedirs(os.path.dirname(r["output_path"]), exist_ok=True)
-                        with open(r["output_path"], "wb") as f:
+                        # Under another name first: what has the final name is whole, whenever a task is lost.
+                        part = f"{r['output_path']}.{uuid.uuid4().hex}.part"
+                        with open(part, "wb") as f:
                             f.write(r["output"])
+                        os.replace(part, r["output_path"])
                     except OSError as e:
                         r["status"], r["reason"] = "failed", str(e)
             yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in got], schema=b.schema)

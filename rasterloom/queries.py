@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import color, text
 from rasterloom.kernel.color import GREYS, HUES, KNEE, TO_XYZ, WHITE
-from rasterloom.operators import editing, geometry, labels, pixels, tracing
+from rasterloom.operators import editing, geometry, labels, pixels, presets, scoring, tracing
+from rasterloom.plans import report, settings
 from rasterloom.plans.options import DEFAULT_PRESET, PRESETS
+from rasterloom.sinks import pdf
 from rasterloom.sinks.dxf import ACI
-from rasterloom.sources import virtual
+from rasterloom.sources import images, virtual
 from rasterloom.streaming import requests
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,25 +222,6 @@ def edge_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels.edges(virtual.rgba_pixels(spark, sf_dir)).drop("image_id")
 
 
-def classified(m: DataFrame, width: int, height: int) -> DataFrame:
-    """Class, score and verdict from counts of transitions, as columns."""
-    flat, soft, colors, capped = F.col("flat_ratio"), F.col("soft_ratio"), F.col("colors"), F.col("colors") >= 20000
-    kind = (
-        F.when((flat < 0.2) & (soft > 0.55) | capped & (flat < 0.35), "photo")
-        .when((flat >= 0.6) & (colors <= 8), "line-art").when(flat >= 0.6, "flat-art")
-        .when((flat >= 0.3) & ((soft > 0.45) | (colors > 4000)), "gradient-art").when(flat >= 0.3, "flat-art")
-        .when(soft > 0.4, "gradient-art").otherwise("unknown")
-    )
-    r = lambda c: F.floor(c + 0.5)
-    k = F.col("classification")
-    base = F.when(k == "line-art", 92).when(k == "flat-art", 70 + r(flat * 25)).when(k == "gradient-art", 45 + r(flat * 25) - r(soft * 15)).when(k == "photo", 12).otherwise(45)
-    short = min(width, height)
-    off = 25 if short < 64 else 12 if short < 128 else 5 if short < 200 else 0
-    points = F.greatest(F.lit(0), F.least(F.lit(100), base - off - F.when(capped & (k != "photo"), 8).otherwise(0)))
-    verdict = F.when(F.col("score") >= 80, "excellent").when(F.col("score") >= 62, "good").when(F.col("score") >= 35, "fair").otherwise("poor")
-    return m.withColumn("classification", kind).withColumn("score", points.cast("int")).withColumn("suitability", verdict)
-
-
 @query(
     f"""{_EDGE_SQL}, q AS (SELECT flat/greatest(1,opaque)::DOUBLE AS f, soft/greatest(1,opaque)::DOUBLE AS s, hard/greatest(1,opaque)::DOUBLE AS hd, transparent/(opaque+transparent)::DOUBLE AS t, colors, (SELECT count(*)//100 FROM events) AS h FROM m),
     c AS (SELECT *, CASE WHEN f<0.2 AND s>0.55 OR colors>=20000 AND f<0.35 THEN 'photo' WHEN f>=0.6 THEN CASE WHEN colors<=8 THEN 'line-art' ELSE 'flat-art' END
@@ -250,10 +233,8 @@ def classified(m: DataFrame, width: int, height: int) -> DataFrame:
 )
 def analyze_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the raster suits tracing: ratios, class, score, verdict."""
-    e = pixels.edges(virtual.rgba_pixels(spark, sf_dir))
-    n = F.greatest(F.lit(1), F.col("opaque"))
-    m = e.select((F.col("flat") / n).alias("flat_ratio"), (F.col("soft") / n).alias("soft_ratio"), (F.col("hard") / n).alias("hard_ratio"), (F.col("transparent") / (F.col("opaque") + F.col("transparent"))).alias("transparent_ratio"), "colors")
-    out = classified(m, WIDTH, _height(spark, sf_dir))
+    m = scoring.ratios(pixels.edges(virtual.rgba_pixels(spark, sf_dir)))
+    out = scoring.classified(m, F.lit(WIDTH), F.lit(_height(spark, sf_dir)))
     return out.select(*(F.round(c, 4).alias(c) for c in ("flat_ratio", "soft_ratio", "hard_ratio", "transparent_ratio")), "colors", "classification", "score", "suitability")
 
 
@@ -371,12 +352,7 @@ def color_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     px, h = virtual.art(spark, sf_dir), _height(spark, sf_dir)
     rooted = labels.run_roots(px)
     clean = labels.remove_backdrop(rooted, labels.backdrop(px, rooted, WIDTH, h), WIDTH, h).where("k >= 0")
-    layers = labels.regions(clean).groupBy("image_id", "k").agg(F.count(F.lit(1)).alias("pieces"), F.sum("area").alias("area"))
-    named = layers.join(_four(spark).withColumnRenamed("idx", "k"), "k")
-    r, g, b = F.col("r"), F.col("g"), F.col("b")
-    named = named.selectExpr("*", "CAST(row_number() OVER (PARTITION BY image_id ORDER BY area DESC, k) AS INT) AS idx").withColumn("name", color.color_name(r, g, b))
-    named = editing.uniquify(named, "image_id").withColumn("hex", color.to_hex(r, g, b))
-    return named.selectExpr("idx AS rank", "hex", "label AS name", "pieces", "area", "round(area / sum(area) OVER (PARTITION BY image_id), 4) AS area_share")
+    return editing.layers(labels.regions(clean), _four(spark)).drop("image_id")
 
 
 _CRACKS = """q AS (SELECT x, y, k FROM art UNION ALL SELECT x, -1, -1 FROM (SELECT DISTINCT x FROM art) UNION ALL SELECT x, h, -1 FROM (SELECT DISTINCT x FROM art), hh
@@ -443,8 +419,8 @@ def skeleton_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prune_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Palette rows without pixels dropped, the rest numbered densely."""
     u = virtual.colors(spark, sf_dir).selectExpr("CAST((r*7+g*3) % 256 AS INT) AS idx", "r % 5 AS n")
-    t = u.groupBy("idx").agg(F.count_if(F.col("n") == 0).alias("cnt")).where("cnt > 0")
-    return t.selectExpr("idx", "cnt", "CAST(row_number() OVER (ORDER BY idx) - 1 AS INT) AS dense")
+    counts = u.groupBy(F.lit("v").alias("image_id"), "idx").agg(F.count_if(F.col("n") == 0).alias("cnt"))
+    return editing.prune_palette(counts).drop("image_id")
 
 
 _AROUND = f"""WITH {virtual.POINTS_SQL}, w AS (SELECT *, count(*) OVER (PARTITION BY line_id) AS n, max(i) OVER (PARTITION BY line_id) AS li,
@@ -528,9 +504,8 @@ _EXT = "lower(regexp_extract(path, '(\\.[^./]*)$', 1))"
 )
 def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image files of a folder by path, without dot folders, at most 500, with output paths and sizes."""
-    f = virtual.files(spark, sf_dir).where(text.extension(F.col("path")).isin(".png", ".jpg", ".jpeg", ".webp", ".gif") & ~F.col("path").rlike(r"/\.[^/]+/"))
-    top = f.orderBy("path").limit(500)
-    return top.selectExpr("CAST(row_number() OVER (ORDER BY path) - 1 AS INT) AS id", "path", "bytes").select("*", text.with_extension(F.col("path"), "svg").alias("output_path"), text.format_bytes(F.col("bytes")).alias("size"))
+    found = images.image_files(virtual.files(spark, sf_dir).withColumnRenamed("bytes", "byte_length"), "/in")
+    return found.select("id", "path", F.col("byte_length").alias("bytes"), images.output_paths(F.col("path"), "/in", "/in", "svg").alias("output_path"), text.format_bytes(F.col("byte_length")).alias("size"))
 
 
 @query(
@@ -541,18 +516,15 @@ def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of a conversion by status and reason: existing outputs by anti-join, low scores skipped, undecodable files failed."""
-    f = virtual.files(spark, sf_dir)
-    done = f.where("bytes % 3 = 0").select("path")
-    known = f.join(done, "path", "left_semi").select("bytes", F.lit("skipped").alias("status"), F.lit("exists").alias("reason"))
-    rest = f.join(done, "path", "left_anti")
-    webp, low = text.extension(F.col("path")) == ".webp", F.col("bytes") % 101 < 35
-    tried = rest.select("bytes", F.when(webp, "failed").when(low, "skipped").otherwise("converted").alias("status"), F.when(webp, "no codec").when(low, "score").alias("reason"))
-    return known.unionByName(tried).rollup("status", "reason").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    tasks = virtual.files(spark, sf_dir).select(F.col("path").alias("output_path"), F.col("bytes").alias("output_bytes"))
+    known, rest = report.existing(tasks, tasks.where("output_bytes % 3 = 0"), "exists")
+    webp, low = text.extension(F.col("output_path")) == ".webp", F.col("output_bytes") % 101 < 35
+    tried = rest.withColumns({"status": F.when(webp, "failed").when(low, "skipped").otherwise("converted"), "reason": F.when(webp, "no codec").when(low, "score")})
+    return report.by_reason(known.unionByName(tried)).withColumnRenamed("output_bytes", "bytes")
 
 
 _PRESET_ROWS = [(i, p[0], p[1]["max_colors"], p[1]["detail"], p[1]["smoothing"], p[1]["denoise"], float(p[1]["color_merge_threshold"]), p[1].get("stroke_mode", "off"), float(p[1].get("max_dimension", 1400.0))) for i, p in PRESETS.items()]
 _PRESET_VALUES = ", ".join(f"('{r[0]}', '{r[1]}', {r[2]}, {r[3]}, {r[4]}, {r[5]}, {r[6]}::DOUBLE, '{r[7]}', {r[8]}::DOUBLE)" for r in _PRESET_ROWS)
-_SETTING = {"max_colors": (1, 256), "detail": (0, 100), "denoise": (0, 100)}
 
 
 @query(
@@ -566,20 +538,15 @@ _SETTING = {"max_colors": (1, 256), "detail": (0, 100), "denoise": (0, 100)}
 )
 def resolve_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings of requests: preset under overrides, clamped, with the numbers that follow from them."""
-    presets = spark.createDataFrame(_PRESET_ROWS, "id string, label string, max_colors int, detail int, smoothing int, denoise int, merge double, stroke_mode string, max_dimension double")
     e = _read(spark, sf_dir, "events")
     asked = e.select(
         "event_id", F.element_at(F.array(*(F.lit(r[0]) for r in _PRESET_ROWS)), (F.col("event_id") % 8 + 1).cast("int")).alias("id"),
-        F.when(F.col("user_id") % 2 == 0, F.col("value") / 3).alias("o_colors"), F.when(F.col("user_id") % 3 == 0, F.col("value") - 20).alias("o_detail"),
+        F.when(F.col("user_id") % 2 == 0, F.col("value") / 3).alias("o_max_colors"), F.when(F.col("user_id") % 3 == 0, F.col("value") - 20).alias("o_detail"),
     )
-    full = asked.join(F.broadcast(presets), "id")  # eight rows
-    pick = lambda o, d: text.clamp_int(F.coalesce(F.col(o), F.col(d).cast("double")), *_SETTING[d]).alias(d)
-    s = full.select("event_id", "id", "label", pick("o_colors", "max_colors"), pick("o_detail", "detail"), "smoothing", "denoise")
-    eps = F.when(F.col("detail") >= 99.5, 0.0).otherwise(0.55 + 2.6 * F.pow((100 - F.col("detail")) / 100.0, F.lit(1.3)))
+    s, denoise = settings.resolve_rows(asked), F.col("denoise")
     return s.select(
-        "event_id", "id", "label", "max_colors", "detail", "denoise", F.round(eps, 6).alias("epsilon"), F.round(8 + 92 * F.pow(F.col("smoothing") / 100.0, F.lit(0.9)), 6).alias("corner_degrees"),
-        F.round(0.04 + 0.16 * (1 - F.col("denoise") / 100.0), 6).alias("noise_gate"), F.when(F.col("denoise") <= 10, 0).when(F.col("denoise") >= 75, 2).otherwise(1).alias("radius"),
-        F.greatest(F.lit(2), F.floor(640 * 480 * 0.00002 * (0.4 + F.col("denoise") / 100.0 * 1.6) + 0.5)).cast("int").alias("least_area"),
+        "event_id", "id", "label", "max_colors", "detail", "denoise", F.round(settings.epsilon(F.col("detail")), 6).alias("epsilon"), F.round(settings.corner_degrees(F.col("smoothing")), 6).alias("corner_degrees"),
+        F.round(settings.noise_gate(denoise), 6).alias("noise_gate"), settings.median_radius(denoise).alias("radius"), settings.least_area(denoise, 640, 480).alias("least_area"),
     )
 
 
@@ -618,7 +585,7 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def object_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte offsets of a document's objects: the running sum of the lengths before."""
     o = _read(spark, sf_dir, "customer").selectExpr("c_mktsegment AS doc", "c_custkey AS obj", "length(c_name) AS len")
-    return o.selectExpr("doc", "obj", "coalesce(sum(len) OVER (PARTITION BY doc ORDER BY obj ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start")
+    return pdf.object_offsets(o, "doc", "obj", "len").select("doc", "obj", "start")
 
 
 _LAYER_SQL = f"""{virtual.PALETTE_SQL}, lay AS (SELECT '#' || printf('%06x', r*65536+g*256+b) AS hex, CAST(sum(weight) AS BIGINT) AS pixels, count(*) AS pieces FROM pal GROUP BY 1)"""
@@ -692,23 +659,27 @@ def debounced_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step of weighted k-means in Lab from given centres: nearest centre, weighted means, rounded colours."""
-    r, g, b = F.col("r"), F.col("g"), F.col("b")
     d = pixels.opaque(virtual.rgba_pixels(spark, sf_dir)).groupBy("r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
-    near = pixels.nearest_entry(d, _four(spark), "r", "g", "b", "n").withColumn("lab", color.rgb_to_lab(r, g, b))
-    mean = lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
-    return near.groupBy(F.col("label").alias("cluster")).agg(
-        F.sum("n").alias("weight"), *(F.round(mean(f"lab.{c}"), 6).alias(c.lower()) for c in "Lab"), *(F.floor(mean(c) + 0.5).cast("int").alias(name) for c, name in zip("rgb", ("red", "green", "blue")))
-    )
+    means = pixels.cluster_means(pixels.nearest_entry(d, _four(spark), "r", "g", "b", "n"))
+    return means.select("cluster", "weight", *(F.round(f"lab.{c}", 6).alias(c.lower()) for c in "Lab"), "red", "green", "blue")
 
 
 @query(
-    """SELECT event_id, CASE WHEN len(g) = 0 THEN NULL ELSE len(g) END AS keys, CAST(greatest(0, least(100, floor(value + 0.5))) AS INT) AS detail FROM (SELECT event_id, value, json_keys(props) AS g FROM events)"""
+    """SELECT event_id, CAST(0 AS INT) AS position, 'custom:' || event_id AS id, event_type AS label, greatest(0.0, least(100.0, CAST(event_id % 300 - 100 AS DOUBLE))) AS detail,
+      CASE WHEN event_id % 2 = 0 THEN greatest(1.0, least(256.0, CAST(user_id AS DOUBLE))) END AS max_colors, CASE WHEN event_id % 3 = 0 THEN 'force' END AS stroke_mode
+    FROM events WHERE event_id % 7 > 0"""
 )
 def sanitize_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored JSON settings: keys counted, numbers clamped, empty ones null."""
-    e = _read(spark, sf_dir, "events")
-    n = F.size(F.json_object_keys("props"))
-    return e.select("event_id", F.when(n > 0, n).cast("bigint").alias("keys"), text.clamp_int(F.col("value"), 0, 100).alias("detail"))
+    """Stored JSON presets: numbers clamped, texts that should be numbers and unknown choices dropped, as are entries with a foreign id."""
+    e, k = _read(spark, sf_dir, "events"), F.col("event_id")
+    colors = F.when(k % 2 == 0, F.col("user_id").cast("string")).otherwise(F.lit('"12"'))  # a number, or a text
+    mode = F.when(k % 3 == 0, "force").otherwise("sometimes")
+    body = F.format_string(
+        '[{"id":"%s%d","label":"  %s ","options":{"detail":%d,"maxColors":%s,"strokeMode":"%s"}}]',
+        F.when(k % 7 > 0, "custom:").otherwise("foreign:"), k, F.col("event_type"), k % 300 - 100, colors, mode,
+    )
+    got = presets.load(e.select("event_id", body.alias("json")), "json", "event_id")
+    return got.select("event_id", "position", "id", "label", F.col("options.detail").alias("detail"), F.col("options.maxColors").alias("max_colors"), F.col("options.strokeMode").alias("stroke_mode"))
 
 
 # --- what SQL can't express -----------------------------------------------------------------------

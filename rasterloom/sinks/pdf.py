@@ -46,6 +46,15 @@ def content(traced, scale: float, digits: int, background: str | None) -> str:
     return "\n".join(lines + ["Q"])
 
 
+def object_offsets(objects, document: str, order: str, length: str, head: int = 0):
+    """``objects`` (a DataFrame) with ``start``: where each object of a document begins, by the lengths of those before it."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    before = Window.partitionBy(document).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return objects.withColumn("start", F.coalesce(F.sum(length).over(before), F.lit(0)) + F.lit(head).cast("bigint"))
+
+
 def write(traced, dpi: float = 96, precision: int = 3, background: str | None = None, title: str = "Vectorized artwork") -> bytes:
     scale = 72 / dpi
     stream = content(traced, scale, precision, background)

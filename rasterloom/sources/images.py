@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.session import ship_package
@@ -22,12 +22,34 @@ def discover(spark: SparkSession, directory: str | None = None, paths: Sequence[
         raise ValueError("give a directory or paths")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     files = reader.load(directory if directory is not None else list(paths)).select("path", F.col("length").alias("byte_length"))
+    return image_files(files, directory, extensions, limit)
+
+
+def wanted_files(files: DataFrame, directory: str | None = None, extensions: Sequence[str] = EXTENSIONS) -> DataFrame:
+    """Those of ``files(path, ...)`` with one of the extensions, in any case, and outside of folders below ``directory`` whose name begins with a dot."""
     wanted = [("." + e.lower().lstrip(".")) for e in extensions]
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     tail = F.substring_index("path", directory.rstrip("/") if directory else "\0", -1)
-    files = files.where(suffix.isin(wanted) & ~tail.rlike(r"/\.[^/]+/")).orderBy("path").limit(min(limit, MOST_FILES))
+    return files.where(suffix.isin(wanted) & ~tail.rlike(r"/\.[^/]+/"))
+
+
+def image_files(files: DataFrame, directory: str | None = None, extensions: Sequence[str] = EXTENSIONS, limit: int = MOST_FILES) -> DataFrame:
+    """``id, path, byte_length``: the first ``limit`` of the wanted files by path, numbered from 0."""
+    first = wanted_files(files, directory, extensions).orderBy("path").limit(min(limit, MOST_FILES))
     # The limit bounds what the window orders.
-    return files.selectExpr("row_number() over (order by path) - 1 AS id", "path", "byte_length")
+    return first.selectExpr("row_number() over (order by path) - 1 AS id", "path", "byte_length")
+
+
+def output_paths(path: Column, directory: str, output: str, extension: str) -> Column:
+    """Where the output of a file goes: its place below ``directory`` kept below ``output``, with another extension; just its name without a directory."""
+    local, root = F.regexp_replace(path, r"^file:/+", "/"), directory.removeprefix("file:").rstrip("/")
+    below = F.substring(local, len(root) + 2, 1 << 30) if root else F.substring_index(path, "/", -1)
+    return F.concat(F.lit(output.rstrip("/") + "/"), F.regexp_replace(below, r"\.[^./]*$", "." + extension))
+
+
+def open_images(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
+    """``read_images`` as users want them: JPEGs turned as their heads ask, files over 64 MiB refused with a reason."""
+    return within_bytes(spark, upright(spark, read_images(spark, path, recursive), path, recursive), path, recursive)
 
 
 def exif_orientation(content: bytes) -> int:
