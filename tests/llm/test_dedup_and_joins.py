@@ -50,6 +50,23 @@ def test_index_persists_and_new_batches_are_held_against_it(spark):
     assert sorted(r["doc_id"] for r in exact_dedup.keep_first(docs(spark, [(1, "text 3", "s"), (2, "new", "s"), (2, "new", "s")]), again, 2).collect()) == [2]
 
 
+def test_batches_are_numbered_and_the_index_is_not_shuffled(spark, monkeypatch):
+    index = exact_dedup.fresh_index(spark, 4)
+    twice = [exact_dedup.dedup_batch(docs(spark, [(1, "a", "s"), (2, "b c", "s"), (2, "b c", "s")]), index).where("kept").count() for _ in range(2)]
+    assert twice == [3, 0] and index.rows().count() == 2 and index.next_batch() == 1
+    again = exact_dedup.dedup_batch(docs(spark, [(1, "a", "s")]), index, 0)  # a batch that is repeated under its number
+    assert again.where("kept").count() == 1
+    assert exact_dedup.keep_first(docs(spark, [(1, "a", "s"), (9, "new", "s")]), index).count() == 1
+    plans = []
+    original = exact_dedup.Scratch.save
+    monkeypatch.setattr(exact_dedup.Scratch, "save", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or original(self, df))
+    got = exact_dedup.dedup_batch(docs(spark, [(3, "new", "s")]).withColumn("keep_id", F.lit("clash")), index)
+    (looked,) = [p for p in plans if "SortMergeJoin" in p]
+    assert "Bucketed: true" in looked and looked.count("Exchange hashpartitioning") == 1  # that of the batch
+    assert [r["kept"] for r in got.collect()] == [False]
+    assert index.table not in got._jdf.queryExecution().executedPlan().toString()  # rows meet the batch's digests only
+
+
 def test_anti_join_reads_the_index_without_a_shuffle(spark):
     index = exact_dedup.fresh_index(spark, 4)
     exact_dedup.append_new(docs(spark, [(1, "a", "s")]), index)
@@ -226,6 +243,38 @@ def test_recall_of_pairs_within_a_large_template_group(spark):
     assert sum(got[2 * g + 1] == 2 * g for g in range(100)) >= 98  # 97 with the runs for depth 3 only
 
 
+def test_chains_at_a_large_dense_group(spark):
+    """Edits of one text and chains of edits that hang on it by one link each: one class, and all links."""
+    rng, n = random.Random(77), [0]
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+
+    def changed(words, at):
+        out = list(words)
+        for p in at:
+            n[0] += 1
+            out[p] = f"n{n[0]}"
+        return out
+
+    spaced = lambda k, but=(): rng.sample([p for p in range(6, 294, 6) if p not in but], k)
+    texts = [base] + [changed(base, spaced(2)) for _ in range(700)]
+    for _ in range(40):
+        p = spaced(5)
+        first = changed(base, [*p, p[4] + 3])
+        second = changed(first, spaced(6, p))
+        texts += [first, second, changed(second, spaced(5)), changed(second, spaced(5))]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    classes, links = joined(spark, rows)
+    assert set(classes.values()) == {0}
+    sets = [jaccard_join.shingle_set(t) for _, t in rows]
+    column = {v: i for i, (v, c) in enumerate(Counter(int(v) for s in sets for v in s).items()) if c > 1}
+    held = np.zeros((len(sets), max(column.values()) + 1), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [column[int(v)] for v in s if int(v) in column]] = 1
+    common, size = held @ held.T, np.array([len(s) for s in sets])
+    near = common >= 0.8 * (size[:, None] + size[None, :] - common) - 1e-9
+    assert [links[i] for i in range(len(sets))] == (near.sum(axis=1) - 1).tolist()
+
+
 def test_blocks_count_common_shingles_exactly():
     import pyarrow as pa
 
@@ -413,3 +462,24 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for r in out:
         total[r["sequence_id"]] += r["length"]
     assert max(total.values()) <= 2048
+
+
+def test_near_copies_go_by_row_where_ids_repeat(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    a, near, other = " ".join(words), " ".join(words + ["end"]), " ".join(f"q{i}" for i in range(40))
+    rows = [(0, a, "s"), (1, near, "s"), (1, other, "s"), (None, a + " more", "s"), (None, "alone here", "s"), (5, "...", "s"), (5, None, "s"), (5, "", "s")]
+    df = docs(spark, rows).withColumn("class_id", F.lit("clash"))
+    got = corpus_pipeline.one_of_each_class(spark, df, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(0, a), (1, other), (None, "alone here"), (5, "..."), (5, None), (5, "")], key=str)
+
+
+def test_pipeline_of_an_empty_table_and_of_long_runs(spark, tmp_path):
+    import corpus_pipeline
+
+    for name, rows in (("none", []), ("long", [(1, " " * 2_000_000 + "a word or two " + "\n" * 1_000_000, "s"), (2, "some other words here", "s"), (3, "other words here some", "s")])):
+        docs(spark, rows).coalesce(1).write.parquet(str(tmp_path / name / "documents.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert (len(out) == 0) == (not rows)

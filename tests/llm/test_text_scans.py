@@ -1,6 +1,7 @@
 """Secret scans, language ID, token counts."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -107,3 +108,88 @@ def test_lengths_and_totals_against_brute_force(spark):
     for r in token_counts.at_limits(token_counts.context_table(counts), limits).collect():
         assert r["tokens_truncated"] == sum(min(n, r["limit"]) for n in lengths) and r["docs_over"] == sum(n > r["limit"] for n in lengths)
     assert token_counts.context_table(token_counts.length_counts(docs(spark, []))).count() == 0
+
+
+# --- token ids of odd texts
+
+
+def test_long_runs_have_the_ids_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    from rasterloom.llm import tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode, rng, run = tokenizer.encoder(), random.Random(1), tokenizer.LONG_RUN
+    white = [" ", "\n", "\t", "\r", "\x0b", "\x85", "\xa0", "\u2009", "\u3000", "\x1c", "\u200b"]
+    for _ in range(25):
+        text = ""
+        for _ in range(rng.randint(1, 3)):
+            text += rng.choice(("", "ab ", "'s ", "!! ", "\x1c")) + rng.choice(("".join(rng.choice(white) for _ in range(run + 5)), rng.choice(white) * (run + rng.randint(-1, 1)))) + rng.choice(("", "a b", "9", " "))
+        assert encode(text) == exact.encode(text, add_special_tokens=False).ids
+    for text in (" " * 1_000_000 + "a", "\n" * 1_000_000, "a" * 300_000, "x " + " \n" * 500_000):
+        assert encode(text) == exact.encode(text, add_special_tokens=False).ids
+    assert len(encode(" " * 10_000_000 + "a")) == 10_000_000
+
+
+def test_counts_and_packing_of_long_runs(spark):
+    from rasterloom.llm import packing
+
+    df = docs(spark, [(1, " " * 5_000_000 + "a", "en", "s"), (2, "\n" * 1_000_000, "en", "s")])
+    assert sorted(r["length"] for r in token_counts.length_counts(df, extra=1).collect()) == [500_001, 5_000_001]
+    sizes = packing.pack_documents(df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in sizes} == {1: 5_000_001, 2: 500_001}
+
+
+# --- many and long spans, distances
+
+
+def test_many_and_long_matches(spark):
+    rng = random.Random(2)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    key = "Q" * 300 + "1234567"
+    rows = [(1, " ".join(hexes(30) for _ in range(3000)) + " " + key, "en", "a"), (2, f"x {key} y {hexes(24)}Z1 token={key}", "en", "b")]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(spark, docs(spark, rows)).collect()}
+    base = {(s["kind"], s["start"], s["stop"]) for s in got[1]["base"]}
+    assert base == {("hex", 31 * i, 31 * i + 30) for i in range(3000)}
+    # A bare run of any length counts; one that a base span overlaps doesn't.
+    assert [(s["kind"], s["start"], s["stop"]) for s in got[1]["found"] if s["kind"] == "owned"] == [("owned", 93_000, 93_307)]
+    assert [(s["kind"], s["start"]) for s in got[2]["found"] if s["kind"] == "owned"] == [("owned", 2)]
+
+
+def test_running_folds_and_overlaps_against_plain_loops(spark):
+    rng = random.Random(3)
+    numbers = [[rng.randint(0, 9) for _ in range(n)] for n in (0, 1, 255, 256, 257, 700)]
+    df = spark.createDataFrame([(v,) for v in numbers], "v array<bigint>")
+    for (got,) in [(r,) for r in df.select("v", secret_scan.running(F.col("v"), 0, lambda x, y: x + y).alias("s"), secret_scan.running(F.col("v"), 0, F.greatest).alias("m")).collect()]:
+        assert got["s"] == [sum(got["v"][:i]) for i in range(len(got["v"]))] and got["m"] == [max(got["v"][:i], default=0) for i in range(len(got["v"]))]
+    span = "array<struct<kind:string,start:bigint,stop:bigint,value:string>>"
+    cases = []
+    for _ in range(60):
+        cuts = sorted(rng.sample(range(80), 10))
+        bare = [("owned", a, b, "") for a, b in zip(cuts[::2], cuts[1::2])]
+        cases.append((bare, [("hex", a, a + rng.randint(1, 15), "") for a in rng.sample(range(80), rng.randint(0, 4))]))
+    for r in spark.createDataFrame(cases, f"bare {span}, base {span}").select("bare", "base", secret_scan.apart(F.col("bare"), F.col("base")).alias("free")).collect():
+        assert [tuple(s) for s in r["free"]] == [tuple(s) for s in r["bare"] if not any(b["start"] < s["stop"] and s["start"] < b["stop"] for b in r["base"])]
+
+
+def test_predictions_against_distances_by_hand(spark):
+    """Profiles and out-of-place distances by plain loops; of two languages at one distance the first by name wins."""
+    rng = random.Random(8)
+    words = {"aa": ["der", "die", "und", "nicht"], "bb": ["the", "and", "thing", "not"], "cc": ["the", "and", "thing", "not"]}
+    rows = [(i, lang, " ".join(rng.choice(w) for _ in range(30))) for i, (lang, w) in enumerate([*words.items()] * 20)]
+    rows += [(100 + i, "cc", t) for i, lang, t in rows if lang == "bb"] + [(200 + i, "bb", t) for i, lang, t in rows if lang == "cc"]  # the same profile twice
+    profiles = language_id.learn_profiles(spark, spark.createDataFrame(rows, "key long, lang string, text string"), size=40)
+    ranked = {}
+    for lang in words:
+        counts = Counter(c for _, of, t in rows if of == lang for c in language_id.ngram_codes(t).tolist())
+        ranked[lang] = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:40]]
+    assert ranked["bb"] == ranked["cc"]
+    for text in ("nicht und der", "thing the", "zzz qqq", "die and the und"):
+        counts = Counter(language_id.ngram_codes(text).tolist())
+        top = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: language_id.DOC_TOP]]
+        far = {lang: sum(abs(r.index(c) - i) if c in r else 40 for i, c in enumerate(top)) for lang, r in ranked.items()}
+        best = min(far, key=lambda lang: (far[lang], lang))
+        got = profiles.predict(text)
+        assert got[0] == best and abs(got[1] - max(0.0, 1 - far[best] / (40 * len(top)))) < 1e-12
