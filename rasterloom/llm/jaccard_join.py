@@ -28,7 +28,7 @@ BUCKET = 48  #: sets that are compared with each other at once
 BLOCK, COLUMNS = 1024, 8192  #: sets of a block, and shingles counted at once, where dense groups are compared
 SHINGLES = 2_000_000  #: of a block, about
 WHOLET, WHOLE, DEEPEST = 2, 3, 12  #: splits before buckets are looked at, before dense ones are compared whole, and at most
-PROBES, DENSE = 6, 0.5  #: random members that a leader is chosen by, and the share near it that makes a bucket dense
+PROBES, DENSE = 6, 0.5  #: random members of a bucket, and the share near one of them that makes it dense
 
 ROWS = 2000  #: rows that Python holds at once
 
@@ -273,25 +273,20 @@ def _most_bits(threshold: float, deviations: float, n: int = COORDINATES) -> int
 def _dense(large: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Of buckets too large to compare: the members of dense ones (``sid, lead``), and the entries of the others.
 
-    The leader of a bucket is the member with the least total distance to a few random members, close
-    to the medoid. A bucket is dense if most members are near its leader. A leader only names its
-    bucket's group, in which all members meet.
+    A bucket is dense if most members are near one of a few random members. The first of these, the
+    leader, only names the bucket's group, in which all members meet.
     """
     entry = F.struct("sid", "s1", "s2")
     probes = [F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("o"), entry.alias("e"))).alias(f"p{i}") for i in range(PROBES)]
     probes = scratch.save(large.groupBy("key").agg(*probes))
-    met = large.select("key", entry.alias("e")).join(probes, "key")
-    total = sum((_differ(F.col("e"), F.col(f"p{i}.e")) for i in range(1, PROBES)), _differ(F.col("e"), F.col("p0.e")))
+    near = [(_differ(entry, F.col(f"p{i}.e")) <= _most_bits(threshold, 2)).cast("byte").alias(f"n{i}") for i in range(PROBES)]
     # Written first, so that a bucket's members are combined in the tasks that hold them before they meet.
-    totals = scratch.save(met.select("key", "e", total.alias("t")))
-    leaders = scratch.save(totals.groupBy("key").agg(F.min(F.struct("t", "e")).alias("m")).select("key", F.col("m.e").alias("leader")))
-    close = _differ(entry, F.col("leader")) <= _most_bits(threshold, 1)
-    members = scratch.save(large.join(leaders, "key").select(*_FIELDS, close.alias("close"), F.col("leader.sid").alias("lead")))
+    met = scratch.save(large.join(probes, "key").select(*_FIELDS, F.col("p0.e.sid").alias("lead"), *near))
     scratch.drop(probes)
-    scratch.drop(totals)
-    dense = scratch.save(members.groupBy("key").agg(F.avg(F.col("close").cast("double")).alias("share")).where(F.col("share") >= DENSE).select("key"))
-    thick = members.join(dense, "key", "left_semi").select("sid", "lead")
-    return thick.distinct(), members.join(dense, "key", "left_anti").select(*_FIELDS)
+    share = F.greatest(*(F.avg(f"n{i}") for i in range(PROBES)))
+    dense = scratch.save(met.groupBy("key").agg(share.alias("share")).where(F.col("share") >= DENSE).select("key"))
+    thick = met.join(dense, "key", "left_semi").select("sid", "lead")
+    return thick.distinct(), met.join(dense, "key", "left_anti").select(*_FIELDS)
 
 
 class _Search:
