@@ -15,6 +15,7 @@ SHARD_ROWS = 8192  #: vectors that one task holds
 MIN_SHARDS = 32
 BLOCK_QUERIES = 1024  #: queries that meet a shard at once
 LEAF = 48
+SECOND = 8  #: after the first shard, queries meet one shard in so many, then the others
 
 HITS = "query_id bigint, vec_id bigint, score bigint"
 
@@ -154,8 +155,9 @@ def search_top_k(
 
     Vectors lie in shards of about ``shard_rows`` by the hash of their id; copies of one vector in a
     shard are searched as its ``k + 1`` smallest ids, since no others can be in a result. First each
-    query meets one shard only; the k-th score it finds there is shared with its search of all others,
-    where balls whose bound is below it are never opened. Queries go to the shards in blocks, so a task
+    query meets one shard only; the k-th score it finds there is shared with its search of one shard in
+    ``SECOND``, and the k-th of all these with its search of the rest; balls whose bound is below it are
+    never opened. Queries go to the shards in blocks, so a task
     holds one shard and one block. Invalid vectors (null, or with null or non-finite components) take
     no part, nor do null ids; vectors of another length than the query's aren't candidates; scores
     beyond a long are cut to it. A query with fewer candidates gets those there are; a repeated row
@@ -187,12 +189,17 @@ def search_top_k(
     def meet(points: DataFrame, queries: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         return points.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(_search_shard(k), HITS)
 
-    early = scratch.save(meet(sharded, first, ("shard", "dim")))
-    kth = early.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
-    kth = kth.select("query_id", F.when(F.col("n") >= k, F.col("kth").cast("double")).alias("kth"))
-    known = asked.join(kth, "query_id", "left")
-    others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != pilot)
-    spread = known.select("query_id", "vec", "dim", "kth", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(others).alias("shard"))
+    hits = scratch.save(meet(sharded, first, ("shard", "dim")))
     copies = sharded.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    late = meet(copies, spread, ("shard", "dim", "block"))
-    return top_k(early.unionByName(late), k)
+    block_of = F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block")
+    others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != pilot)
+
+    def beat(hits: DataFrame, turn: Column) -> DataFrame:
+        """The best of ``hits`` and of the shards of this ``turn``, which are searched under the k-th score of ``hits``."""
+        kth = top_k(hits, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth"))
+        known = asked.join(kth.select("query_id", F.when(F.col("n") >= k, F.col("kth").cast("double")).alias("kth")), "query_id", "left")
+        spread = known.select("query_id", "vec", "dim", "kth", block_of, F.explode(others).alias("shard")).where(turn)
+        return top_k(hits.unionByName(meet(copies.where(turn), spread, ("shard", "dim", "block"))), k)
+
+    second = F.col("shard") % SECOND == 0
+    return beat(scratch.save(beat(hits, second).drop("rank")), ~second)
