@@ -8,13 +8,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.text import format_bytes, truncate_head
-from rasterloom.plans.options import PRESETS, Options, as_dict
+from rasterloom.plans.options import BACKGROUNDS, INTEGERS, PRESETS, RANGES, STROKE_MODES, Options, as_dict
 
 #: Most bytes of output that an answer carries inline, and formats that are text.
 INLINE, TEXT_FORMATS = 60_000, ("svg", "eps", "dxf")
 #: Most lines of files in a report; the rest is only counted.
 LINES = 500
 
+#: What a setting is for, by its name.
+ADVICE = {
+    "max_colors": "Most colours of the result. Art with no more colours than this keeps them exactly; fewer suit cutting and printing.",
+    "detail": "How closely outlines follow the pixels. The middle of the range removes their steps, the top keeps each of them, as pixel art needs.",
+    "smoothing": "How far an outline may turn before the turn counts as a corner: low for lettering, high for rounded shapes.",
+    "denoise": "How hard specks are removed. Noise is measured first, so clean art is left as it is; 0 for pixel art.",
+    "alpha_threshold": "Opacity from which a pixel is part of the drawing.",
+    "background": "auto removes an even backdrop that meets the frame and leaves enclosed areas of its colour; keep draws it; remove takes the colour along the frame.",
+    "color_merge_threshold": "CIEDE2000 distance below which two colours become one: raise it where compression made many shades of one colour.",
+    "max_dimension": "Longest side that is traced; larger images are scaled down first.",
+    "precision": "Decimals of coordinates.",
+    "seed": "Start of the palette search; the same seed gives the same result.",
+    "stroke_mode": "Whether thin regions become strokes along their middle, with a width. Only regions with nothing around them can, or gaps would open.",
+    "min_stroke_elongation": "How much longer than wide a region has to be to become a stroke.",
+    "min_area": "Pixels below which a region is a speck; by default from denoise and the image's size.",
+    "palette": "Colours to use instead of those found.",
+}
+
+
+def settings_guide(spark: SparkSession) -> DataFrame:
+    """``setting, least, most, choices, standard, advice`` of every setting; ``standard`` is the engine's own value as JSON."""
+    choices = {"background": list(BACKGROUNDS), "stroke_mode": list(STROKE_MODES)}
+    rows = []
+    for name, value in as_dict(Options()).items():
+        least, most = RANGES.get(name) or INTEGERS.get(name) or (None, None)
+        as_double = lambda x: None if x is None else float(x)
+        rows.append((name, as_double(least), as_double(most), choices.get(name), json.dumps(value), ADVICE[name]))
+    return spark.createDataFrame(rows, "setting string, least double, most double, choices array<string>, standard string, advice string")
+
 
 def presets(spark: SparkSession) -> DataFrame:
     """``id, label, options`` (JSON) of the built-in presets."""

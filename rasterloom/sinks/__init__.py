@@ -1,13 +1,13 @@
-"""Serialisers of traced images: SVG, PDF, EPS, DXF and PNG previews."""
+"""Serialisers of traced images: SVG, PDF, EPS, DXF, PNG and JPEG previews."""
 
 from __future__ import annotations
 
-from rasterloom.sinks import dxf, eps, pdf, png, svg
+from rasterloom.sinks import dxf, eps, jpeg, pdf, png, svg
 
 
 def render(traced, kind: str = "svg", **options) -> bytes:
-    """The traced image in one of the formats. JPEG can't be written here, for want of a codec."""
-    writers = {"svg": svg.write, "pdf": pdf.write, "eps": eps.write, "dxf": dxf.write, "png": png.preview}
+    """The traced image in one of the formats."""
+    writers = {"svg": svg.write, "pdf": pdf.write, "eps": eps.write, "dxf": dxf.write, "png": png.preview, "jpeg": jpeg.preview}
     if kind not in writers:
         raise ValueError(f"no writer for {kind!r}")
     out = writers[kind](traced, **options)

@@ -34,26 +34,54 @@ def winding(h: int, w: int, outlines: list[list[tuple[float, float]]]) -> np.nda
     return turns.cumsum(axis=1)[:, :w]
 
 
-def draw(traced, width: int | None = None, background: str | None = None) -> np.ndarray:
-    """Layers over each other, without anti-aliasing; strokes as discs along their flattened path."""
+#: Places within a pixel where an anti-aliased preview is sampled, from its centre: a turned grid of four.
+SAMPLES = ((-0.125, -0.375), (0.375, -0.125), (0.125, 0.375), (-0.375, 0.125))
+
+
+def draw(traced, width: int | None = None, background: str | None = None, smooth: bool = False) -> np.ndarray:
+    """Layers over each other as 8-bit RGBA; strokes as discs along their flattened path.
+
+    ``smooth`` averages four samples a pixel, weighted by their cover; else a pixel is what its centre is.
+    """
     scale = (width or traced.width) / traced.width
     w, h = max(1, round(traced.width * scale)), max(1, round(traced.height * scale))
+    place = lambda path: [(x * scale, y * scale) for x, y in flatten(path)]
+    parts = [
+        ([place(c.path) for s in layer.shapes for c in s.contours], [(place(s.path), s.closed, s.width * scale / 2) for s in layer.strokes], layer.color)
+        for layer in traced.layers
+    ]
+    if not smooth:
+        return _sample(h, w, parts, background, 0.0, 0.0)
+    total = np.zeros((h, w, 4), np.uint32)
+    for dx, dy in SAMPLES:
+        one = _sample(h, w, parts, background, dx, dy).astype(np.uint32)
+        one[..., :3] *= one[..., 3:] // 255
+        total += one
+    cover = np.maximum(total[..., 3:] // 255, 1)
+    return np.concatenate(((total[..., :3] + cover // 2) // cover, (total[..., 3:] + 2) // 4), axis=2).astype(np.uint8)
+
+
+def _sample(h: int, w: int, parts: list, background: str | None, dx: float, dy: float) -> np.ndarray:
+    """Every pixel as it is at ``(dx, dy)`` from its centre, wholly covered or not at all."""
     out = np.zeros((h, w, 4), np.uint8)
     if background:
         out[:] = (*rgb_of(background), 255)
-    yy, xx = np.mgrid[:h, :w] + 0.5
-    for layer in traced.layers:
-        outlines = [[(x * scale, y * scale) for x, y in flatten(c.path)] for s in layer.shapes for c in s.contours]
-        on = winding(h, w, outlines) != 0 if outlines else np.zeros((h, w), bool)
-        for s in layer.strokes:
-            p = [(x * scale, y * scale) for x, y in flatten(s.path)]
-            for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1] * s.closed):
-                dx, dy = bx - ax, by - ay
-                t = np.clip(((xx - ax) * dx + (yy - ay) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
-                on |= (xx - ax - t * dx) ** 2 + (yy - ay - t * dy) ** 2 <= (s.width * scale / 2) ** 2
-        out[on] = (*layer.color, 255)
+    for outlines, strokes, color in parts:
+        on = winding(h, w, [[(x - dx, y - dy) for x, y in o] for o in outlines]) != 0 if outlines else np.zeros((h, w), bool)
+        for p, closed, radius in strokes:
+            for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1] * closed):
+                # Only the pixels around the piece can be on it.
+                top, left = max(0, int(min(ay, by) - radius - 1)), max(0, int(min(ax, bx) - radius - 1))
+                box = np.s_[top : max(top, int(max(ay, by) + radius + 2)), left : max(left, int(max(ax, bx) + radius + 2))]
+                here = on[box]
+                yy, xx = np.mgrid[: here.shape[0], : here.shape[1]]
+                yy, xx = yy + (top + 0.5 + dy), xx + (left + 0.5 + dx)
+                ex, ey = bx - ax, by - ay
+                t = np.clip(((xx - ax) * ex + (yy - ay) * ey) / max(ex * ex + ey * ey, 1e-12), 0, 1)
+                here |= (xx - ax - t * ex) ** 2 + (yy - ay - t * ey) ** 2 <= radius**2
+        out[on] = (*color, 255)
     return out
 
 
-def preview(traced, width: int | None = None, background: str | None = None) -> bytes:
-    return encode(draw(traced, width, background))
+def preview(traced, width: int | None = None, background: str | None = None, smooth: bool = True) -> bytes:
+    return encode(draw(traced, width, background, smooth))

@@ -6,7 +6,7 @@ import pytest
 
 from rasterloom.kernel.tracer import vectorize
 from rasterloom.plans.options import Options
-from rasterloom.sinks import render
+from rasterloom.sinks import jpeg, render
 from rasterloom.sinks.dxf import nearest_index
 from rasterloom.sinks.numbers import fixed, short
 from rasterloom.sinks.png import draw
@@ -63,10 +63,47 @@ def test_preview_draws_what_was_traced(traced):
     assert (seen[..., 3] != image[..., 3]).mean() < 0.02
     assert render(t, "png").startswith(b"\x89PNG")
     with pytest.raises(ValueError):
-        render(t, "jpeg")
+        render(t, "tiff")
+
+
+def test_smooth_previews_mix_at_edges_only(traced):
+    image, t = traced
+    hard, soft = draw(t), draw(t, smooth=True)
+    inside = (soft[..., 3] == 255) & (hard[..., 3] == 255)
+    assert 0 < ((soft[..., 3] > 0) & (soft[..., 3] < 255)).mean() < 0.1
+    assert (np.abs(hard[inside].astype(int) - soft[inside]).max(axis=1) > 2).mean() < 0.1
+    assert draw(t, width=2 * t.width, smooth=True).shape[1] == 2 * t.width
+    white = draw(t, background="#ffffff", smooth=True)
+    assert (white[..., 3] == 255).all()
+
+
+def _decoded(spark, folder, images):
+    for name, body in images.items():
+        (folder / f"{name}.jpg").write_bytes(body)
+    out = {}
+    for r in spark.read.format("image").load(str(folder)).select("image.*").collect():
+        out[r["origin"].rsplit("/", 1)[1][:-4]] = np.frombuffer(bytes(r["data"]), np.uint8).reshape(r["height"], r["width"], 3)[..., ::-1]
+    return out
+
+
+def test_jpeg_can_be_read_back(spark, tmp_path, traced):
+    _, t = traced
+    yy, xx = np.mgrid[:45, :70]
+    plain = {
+        "one": np.array([[[10, 200, 30]]], np.uint8),
+        "slope": np.stack([xx * 3, yy * 5, xx + yy], axis=-1).astype(np.uint8),
+        "noise": np.random.default_rng(3).integers(0, 256, (33, 17, 3)).astype(np.uint8),
+        "traced": draw(t, background="#ffffff", smooth=True)[..., :3],
+    }
+    got = _decoded(spark, tmp_path, {k: jpeg.encode(v) for k, v in plain.items() if k != "traced"} | {"traced": render(t, "jpeg")})
+    for name, want in plain.items():
+        assert got[name].shape == want.shape
+        assert np.abs(got[name].astype(int) - want).mean() < (8 if name == "noise" else 2), name
+    with pytest.raises(ValueError):
+        jpeg.encode(np.zeros((0, 5, 3), np.uint8))
 
 
 def test_empty_images_render():
     t = vectorize(np.zeros((10, 10, 4), np.uint8))
-    for kind in ("svg", "pdf", "eps", "dxf", "png"):
+    for kind in ("svg", "pdf", "eps", "dxf", "png", "jpeg"):
         assert render(t, kind)

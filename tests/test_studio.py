@@ -7,6 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterloom.plans import studio
+from rasterloom.plans.options import NAMES
+from rasterloom.plans.report import settings_guide
 from rasterloom.sinks.png import encode
 from rasterloom.sources.images import decode_base64, discover, from_pixels, pixels, read_images
 from tests.drawing import blank, disc, photo, rect
@@ -218,3 +220,10 @@ def test_sql_colour_functions_agree_with_columns(spark):
     both = both.withColumn("next", F.lead("lab").over(Window.orderBy("r", "g", "b")))
     bad = both.where("rl_color_name(r, g, b) <> name OR abs(rl_rgb_to_lab(r, g, b).a - lab.a) > 1e-9 OR abs(rl_delta_e2000(lab, next) - d) > 1e-9")
     assert bad.count() == 0
+
+
+def test_guide_names_every_setting(spark):
+    rows = {r["setting"]: r for r in settings_guide(spark).collect()}
+    assert set(rows) == set(NAMES) and all(r["advice"] for r in rows.values())
+    assert (rows["max_colors"]["least"], rows["max_colors"]["most"], rows["max_colors"]["standard"]) == (1, 256, "8")
+    assert rows["stroke_mode"]["choices"] == ["off", "auto", "force"]
