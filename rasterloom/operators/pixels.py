@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rasterloom.functions import color
 from rasterloom.operators.labels import along_column, along_row, scatter
 
+MOST_ENTRIES = 256  #: entries of a palette, which is broadcast
+
 
 def harden_alpha(px: DataFrame, least: int = 128) -> DataFrame:
     return px.withColumn("a", F.when(F.col("a") >= least, 255).otherwise(0))
@@ -105,11 +107,18 @@ def coarse_histogram(px: DataFrame) -> DataFrame:
     )
 
 
+def bounded_palette(palette: DataFrame) -> DataFrame:
+    """The palette, or one row more than it may have: enough to refuse it, never too much to broadcast."""
+    return palette.limit(MOST_ENTRIES + 1)
+
+
 def nearest_entry(colors: DataFrame, palette: DataFrame, *keys: str) -> DataFrame:
-    """``keys`` and ``label``: the palette entry (``idx, r, g, b``; at most 256 rows by contract) nearest in Lab, the first of equals."""
-    pal = palette.select("idx", color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("q"))
+    """``keys`` and ``label``: the palette entry (``idx, r, g, b``; more than 256 rows are refused) nearest in Lab, the first of equals."""
+    pal = bounded_palette(palette).select("idx", color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("q"))
     here = colors.select(*keys, color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b")).alias("c"))
-    all_q = pal.agg(F.array_sort(F.collect_list(F.struct("idx", "q"))).alias("qs"))
+    entries = F.array_sort(F.collect_list(F.struct("idx", "q")))
+    refused = F.raise_error(F.lit(f"a palette has at most {MOST_ENTRIES} entries"))
+    all_q = pal.agg(F.when(F.count(F.lit(1)) <= MOST_ENTRIES, entries).otherwise(refused).alias("qs"))
     far = lambda e: F.struct(F.round(sum(((F.col("c")[k] - e["q"][k]) * (F.col("c")[k] - e["q"][k]) for k in ("a", "b")), (F.col("c")["L"] - e["q"]["L"]) * (F.col("c")["L"] - e["q"]["L"])), 9).alias("d"), e["idx"].alias("i"))
     return here.crossJoin(F.broadcast(all_q)).select(*keys, F.array_min(F.transform("qs", far))["i"].alias("label"))
 
@@ -118,7 +127,7 @@ def assign_palette(px: DataFrame, palette: DataFrame) -> DataFrame:
     """``image_id, p, label`` of the opaque pixels: the exact entry (the last of equals), else the nearest one, decided for
     each 15-bit key by the first pixel in scan order that is no entry."""
     r, g, b = F.col("r"), F.col("g"), F.col("b")
-    exact = palette.groupBy(color.pack24(r, g, b).alias("rgb")).agg(F.max("idx").alias("exact"))
+    exact = bounded_palette(palette).groupBy(color.pack24(r, g, b).alias("rgb")).agg(F.max("idx").alias("exact"))
     keyed = opaque(px).select("image_id", "p", "r", "g", "b", color.pack24(r, g, b).alias("rgb"), color.pack15(r, g, b).alias("bin")).join(F.broadcast(exact), "rgb", "left")
     first = keyed.where("exact IS NULL").groupBy("image_id", "bin").agg(F.min_by(F.struct("r", "g", "b"), "p").alias("c")).select("image_id", "bin", "c.r", "c.g", "c.b")
     near = nearest_entry(first, palette, "image_id", "bin")

@@ -62,7 +62,7 @@ def unique_label(label: Column, taken: Column) -> Column:
 def save(presets: DataFrame, new: DataFrame) -> DataFrame:
     """``presets`` with the rows of ``new`` before them, newest first, the oldest dropped beyond 24; columns of ``load`` without position."""
     columns = ("id", "label", "options", "created_at")
-    taken = presets.agg(F.collect_list("label").alias("taken"))  # at most 24 labels
+    taken = presets.orderBy(F.desc("created_at"), "id").limit(MOST).agg(F.collect_list("label").alias("taken"))
     label = F.coalesce(F.nullif(F.substring(F.trim("label"), 1, LABEL_LENGTH), F.lit("")), F.lit("Untitled preset"))
     named = new.crossJoin(F.broadcast(taken)).withColumn("label", unique_label(label, F.col("taken"))).select(*columns)
     return named.unionByName(presets.select(*columns)).orderBy(F.desc("created_at"), "id").limit(MOST)

@@ -687,11 +687,15 @@ def sanitize_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _virtual_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The colour raster as compact images of 100 x 100 pixels, one row each."""
+    return _compact(virtual.rgba_pixels(spark, sf_dir).withColumn("image_id", F.concat(F.lit("tile-"), F.expr("y div 100").cast("string"))))
+
+
+def _compact(px: DataFrame) -> DataFrame:
+    """Pixels of images of 100 x 100 as compact images, one row each."""
     from rasterloom.session import ship_package
     from rasterloom.sources.images import from_pixels
 
-    ship_package(spark)
-    px = virtual.rgba_pixels(spark, sf_dir).withColumn("image_id", F.concat(F.lit("tile-"), F.expr("y div 100").cast("string")))
+    ship_package(px.sparkSession)
 
     def compact(table):
         import numpy as np
@@ -763,3 +767,98 @@ def refine_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = studio.refine(_virtual_images(spark, sf_dir), auto_merge_below=30.0, preset="poster")
     return out.select("image_id", "status", "reason", "colors", "pieces", "nodes")
+
+
+# --- what SQL can say of whole traces ---------------------------------------------------------------
+
+_SHADES = "shade(k, hex) AS (VALUES " + ", ".join(f"({k}, '#{c[0]:02x}{c[1]:02x}{c[2]:02x}')" for k, c in enumerate(virtual.COLORS)) + ")"
+#: Settings under which a trace of flat cells is literal.
+_LITERAL = {"background": "keep", "denoise": 0, "detail": 100, "smoothing": 0, "color_merge_threshold": 0}
+
+
+def _layer_areas(traced: DataFrame) -> DataFrame:
+    """``image_id, hex, pixels, outline_area, area_share`` of the layers of traces; holes count as negative area."""
+    rows = traced.select("image_id", F.explode("layers").alias("l"))
+    contours = F.flatten(F.transform("l.shapes", lambda s: s["contours"]))
+    area = F.aggregate(F.transform(contours, lambda c: c["signed_area"]), F.lit(0.0), lambda t, a: t + a)
+    share = F.col("l.pixel_count") / F.sum("l.pixel_count").over(Window.partitionBy("image_id"))
+    return rows.select("image_id", "l.hex", F.col("l.pixel_count").alias("pixels"), F.round(area, 4).alias("outline_area"), F.round(share, 4).alias("area_share"))
+
+
+@query(
+    f"""WITH {virtual.MOSAIC_SQL}, {_SHADES} SELECT image_id, hex, count(*) AS pixels, count(*)::DOUBLE AS outline_area,
+      round(count(*) / sum(count(*)) OVER (PARTITION BY image_id)::DOUBLE, 4) AS area_share FROM mosaic JOIN shade USING (k) WHERE k < 3 GROUP BY image_id, hex"""
+)
+def traced_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of traced flat images: the fitted outlines enclose as much as the pixels of their colour."""
+    from rasterloom.plans import studio
+
+    return _layer_areas(studio.vectorize(_compact(virtual.mosaic(spark, sf_dir)), "pixel-art", _LITERAL, format=None))
+
+
+@query(
+    f"""WITH {virtual.MOSAIC_SQL}, {_SHADES} SELECT image_id, hex, count(*) AS pixels, count(*)::DOUBLE AS outline_area,
+      round(count(*) / sum(count(*)) OVER (PARTITION BY image_id)::DOUBLE, 4) AS area_share FROM mosaic JOIN shade ON shade.k = 0
+      WHERE mosaic.k IN (0, 2) GROUP BY image_id, hex"""
+)
+def refined_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One colour merged into the nearest of the rest and one removed: the kept layer encloses the pixels of both."""
+    from rasterloom.plans import studio
+
+    keep, gone, absorb = (f"#{c[0]:02x}{c[1]:02x}{c[2]:02x}" for c in virtual.COLORS[:3])
+    return _layer_areas(studio.refine(_compact(virtual.mosaic(spark, sf_dir)), [(keep, [absorb])], [gone], preset="pixel-art", overrides=_LITERAL, format=None))
+
+
+@query(
+    f"""WITH {virtual.RGBA_SQL}, e AS (SELECT *, y//100 AS t, lead(r) OVER xr AS r1, lead(g) OVER xr AS g1, lead(b) OVER xr AS b1, lead(r) OVER yd AS r2, lead(g) OVER yd AS g2, lead(b) OVER yd AS b2 FROM px
+      WINDOW xr AS (PARTITION BY y ORDER BY x), yd AS (PARTITION BY x, y//100 ORDER BY y)),
+    d AS (SELECT *, greatest(coalesce(greatest(abs(r-r1),abs(g-g1),abs(b-b1)),0), coalesce(greatest(abs(r-r2),abs(g-g2),abs(b-b2)),0)) AS d FROM e),
+    q AS (SELECT t, max(y)-min(y)+1 AS h, greatest(1, count_if(a>=128))::DOUBLE AS n, count_if(a>=128 AND d=0)/n AS f, count_if(a>=128 AND d>0 AND d<=10)/n AS s, count_if(a>=128 AND d>=40)/n AS hd,
+      1-count_if(a>=128)/count(*)::DOUBLE AS tr, count(DISTINCT CASE WHEN a>=128 THEN r*65536+g*256+b END) AS colors FROM d GROUP BY t),
+    c AS (SELECT *, CASE WHEN f<0.2 AND s>0.55 OR colors>=20000 AND f<0.35 THEN 'photo' WHEN f>=0.6 THEN CASE WHEN colors<=8 THEN 'line-art' ELSE 'flat-art' END
+      WHEN f>=0.3 THEN CASE WHEN s>0.45 OR colors>4000 THEN 'gradient-art' ELSE 'flat-art' END WHEN s>0.4 THEN 'gradient-art' ELSE 'unknown' END AS k FROM q),
+    p AS (SELECT *, CAST(greatest(0, least(100, CASE k WHEN 'line-art' THEN 92 WHEN 'flat-art' THEN 70+floor(f*25+0.5) WHEN 'gradient-art' THEN 45+floor(f*25+0.5)-floor(s*15+0.5) WHEN 'photo' THEN 12 ELSE 45 END
+      - CASE WHEN least(100,h)<64 THEN 25 WHEN least(100,h)<128 THEN 12 ELSE 5 END - CASE WHEN colors>=20000 AND k<>'photo' THEN 8 ELSE 0 END)) AS INT) AS score FROM c)
+    SELECT 'tile-' || t AS image_id, CAST(100 AS INT) AS width, CAST(h AS INT) AS height, tr>0.001 AS has_alpha, floor(tr*10000+0.5)/10000 AS transparent_ratio, CAST(colors AS INT) AS unique_colors,
+      floor(f*10000+0.5)/10000 AS flat_ratio, floor(s*10000+0.5)/10000 AS soft_edge_ratio, floor(hd*10000+0.5)/10000 AS hard_edge_ratio, k AS classification, score,
+      CASE WHEN score>=80 THEN 'excellent' WHEN score>=62 THEN 'good' WHEN score>=35 THEN 'fair' ELSE 'poor' END AS suitability,
+      CASE WHEN colors<=32 THEN 'pixel-art' WHEN k='line-art' THEN 'lineart' WHEN k='flat-art' THEN CASE WHEN colors<=24 THEN 'logo' ELSE 'ai-art' END WHEN k IN ('gradient-art','photo') THEN 'poster' ELSE 'logo' END AS recommended_preset
+    FROM p"""
+)
+def analyze_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the analyzer says of each image, but for its noise."""
+    from rasterloom.plans import studio
+
+    names = "image_id width height has_alpha transparent_ratio unique_colors flat_ratio soft_edge_ratio hard_edge_ratio classification score suitability recommended_preset"
+    return studio.analyze(_virtual_images(spark, sf_dir)).select(*names.split())
+
+
+@query(
+    f"""WITH {virtual.ART_SQL}, hh AS (SELECT count(*)//100 AS h FROM events), {_CRACKS}
+    SELECT kind, CAST(CASE kind WHEN 'h' THEN y ELSE x END AS INT) AS line, count(*)::DOUBLE AS length FROM cr GROUP BY 1, 2"""
+)
+def boundary_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of the boundary chains along each lattice line: every crack between two labels is in one chain."""
+    back = F.when(F.col("closed"), F.slice("points", 1, 1)).otherwise(F.slice("points", 1, 0))  # a closed chain doesn't repeat its first point
+    found = tracing.chains(virtual.art(spark, sf_dir)).select("points", F.concat(F.expr("slice(points, 2, size(points))"), back).alias("after"))
+    steps = found.select(F.explode(F.expr("transform(after, (q, i) -> struct(points[i] AS p, q AS q))")).alias("s")).select("s.p", "s.q")
+    flat = F.col("p.y") == F.col("q.y")
+    line = F.when(flat, F.col("p.y")).otherwise(F.col("p.x")).cast("int")
+    length = F.abs(F.col("p.x") - F.col("q.x")) + F.abs(F.col("p.y") - F.col("q.y"))
+    return steps.groupBy(F.when(flat, "h").otherwise("v").alias("kind"), line.alias("line")).agg(F.sum(length).alias("length"))
+
+
+@query(
+    """SELECT DISTINCT 'tile-' || (event_id // 10000) AS image_id, f.format, 'ok' AS status, f.magic FROM events,
+      (VALUES ('svg', '<svg'), ('pdf', '%PDF'), ('eps', '%!PS'), ('png', chr(137) || 'PNG'), ('jpeg', chr(255) || chr(216) || chr(255) || chr(224))) AS f(format, magic)"""
+)
+def format_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the file of every image in every format begins."""
+    from functools import reduce
+
+    from rasterloom.plans import studio
+
+    images = _compact(virtual.mosaic(spark, sf_dir))
+    begins = F.decode(F.substring("output", 1, 4), "ISO-8859-1").alias("magic")
+    parts = [studio.vectorize(images, DEFAULT_PRESET, format=k, layers=False).select("image_id", F.lit(k).alias("format"), "status", begins) for k in ("svg", "pdf", "eps", "png", "jpeg")]
+    return reduce(DataFrame.unionByName, parts)

@@ -39,6 +39,19 @@ art AS (SELECT event_id AS p, CAST(event_id % 100 AS INT) AS x, CAST(event_id //
     ELSE 0 END AS INT) AS k FROM events)"""
 
 
+def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, x, y, r, g, b, a, k``: images of 100 x 100 pixels of flat cells of 20 x 20, the fourth colour transparent."""
+    tile, cell = F.expr("y div 100"), F.expr("(x div 20) * 3 + (y div 20) * 5 + y div 100")
+    px = _events(spark, sf_dir).withColumn("k", (cell % 4).cast("int"))
+    channels = [F.element_at(F.array(*(F.lit(c[i]) for c in COLORS)), F.col("k") + 1).alias(n) for i, n in enumerate("rgb")]
+    alpha = F.when(F.col("k") == 3, 0).otherwise(255).alias("a")
+    return px.select(F.concat(F.lit("tile-"), tile.cast("string")).alias("image_id"), "x", "y", *channels, alpha, "k")
+
+
+MOSAIC_SQL = """mosaic AS (SELECT *, CAST((x//20*3 + y//20*5 + y//100) % 4 AS INT) AS k, 'tile-' || (y//100) AS image_id
+  FROM (SELECT CAST(event_id % 100 AS INT) AS x, CAST(event_id // 100 AS INT) AS y FROM events))"""
+
+
 def noise_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``image_id, p, x, y, k``: the alphabetical rank of the event type, many small regions."""
     e = _events(spark, sf_dir)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from rasterloom.kernel import color, palette
 
@@ -68,3 +69,13 @@ def test_generator():
     draw = palette.Mulberry(24301)
     values = [draw() for _ in range(1000)]
     assert all(0 <= v < 1 for v in values) and abs(sum(values) / 1000 - 0.5) < 0.05
+
+
+def test_palettes_beyond_their_limit_are_refused(spark):
+    from rasterloom.operators import pixels
+
+    palette = lambda n: spark.range(n).selectExpr("cast(id as int) idx", "cast(id % 256 as int) r", "cast(id div 256 as int) g", "0 b")
+    colors = spark.createDataFrame([(7, 0, 0), (255, 0, 0)], "r int, g int, b int")
+    assert {r["r"]: r["label"] for r in pixels.nearest_entry(colors, palette(256), "r").collect()} == {7: 7, 255: 255}
+    with pytest.raises(Exception, match="at most 256"):
+        pixels.nearest_entry(colors, palette(300), "r").collect()
