@@ -69,7 +69,13 @@ def farthest_anchors(points: DataFrame, *keys: str) -> DataFrame:
 def enclosing(holes: DataFrame, outlines: DataFrame) -> DataFrame:
     """``hole_id, outline_id``: of the outlines whose bounds hold the hole's start, the one of least area (then least id).
 
-    Both have ``group_id``; a group is one region, so the join stays within it.
+    Both have ``group_id``; a group is one region, so the join stays within it. Equal starts and equal
+    bounds meet once, and outlines are numbered by area before: joined rows are folded into numbers as
+    they arise and never sorted or written.
     """
-    inside = holes.join(outlines, "group_id").where("hx BETWEEN min_x AND max_x AND hy BETWEEN min_y AND max_y")
-    return inside.groupBy("group_id", "hole_id").agg(F.min_by("outline_id", F.struct(F.abs("area"), "outline_id")).alias("outline_id"))
+    least = outlines.groupBy("group_id", "min_x", "min_y", "max_x", "max_y").agg(F.min(F.struct(F.abs("area").alias("size"), "outline_id")).alias("o"))
+    ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("group_id").orderBy("o"))).withColumn("outline_id", F.col("o.outline_id")).drop("o")
+    starts = holes.select("group_id", "hx", "hy").distinct()
+    inside = starts.join(ranked, "group_id").where("hx BETWEEN min_x AND max_x AND hy BETWEEN min_y AND max_y")
+    best = inside.groupBy("group_id", "hx", "hy").agg(F.min("rank").alias("rank"), F.min_by("outline_id", "rank").alias("outline_id"))
+    return holes.join(best, ["group_id", "hx", "hy"]).groupBy("group_id", "hole_id").agg(F.min_by("outline_id", "rank").alias("outline_id"))
