@@ -29,8 +29,9 @@ BLOCK, COLUMNS = 1024, 8192  #: sets of a block, and shingles counted at once, w
 SHINGLES = 2_000_000  #: of a block, about
 WHOLET, WHOLE, DEEPEST = 2, 3, 12  #: splits before buckets are looked at, before dense ones are compared whole, and at most
 PROBES, DENSE = 6, 0.5  #: random members of a bucket, and the share near one of them that makes it dense
+MIDDLE, NEAR = 2048, 256  #: sets of a bucket that isn't dense, and members near a random one, up to which it is compared instead of split on
 
-ROWS = 2000  #: rows that Python holds at once
+ROWS, PAIRS = 2000, 50_000  #: rows, and pairs about, that Python holds at once
 
 _U = np.uint64
 _WORD = re.compile(r"\w+")
@@ -227,15 +228,22 @@ def _bucket_pairs(threshold: float, limit: int):
 
 def _emit(cols: list[np.ndarray], threshold: float, limit: int, pa) -> Iterator:
     key, sid, s1, s2 = cols
+    found, held = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(f(*(np.concatenate(x) for x in zip(*found)))) for f in (np.minimum, np.maximum)], ["a", "b"])
     for gap in range(1, limit):
         same = np.flatnonzero(key[gap:] == key[:-gap]) if gap < len(key) else np.empty(0, np.int64)
         if not len(same):
             break
         i, j = same, same + gap
         ok = (sid[i] != sid[j]) & _near(s1[i] ^ s1[j], s2[i] ^ s2[j], threshold)
-        a, b = sid[i[ok]], sid[j[ok]]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        if ok.any():
+            found.append((sid[i[ok]], sid[j[ok]]))
+            held += len(found[-1][0])
+        if held > PAIRS:
+            yield batch()
+            found, held = [], 0
+    if found:
+        yield batch()
 
 
 def _check(threshold: float):
@@ -270,11 +278,13 @@ def _most_bits(threshold: float, deviations: float, n: int = COORDINATES) -> int
     return int(p * n + deviations * math.sqrt(p * (1 - p) * n))
 
 
-def _dense(large: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Of buckets too large to compare: the members of dense ones (``sid, lead``), and the entries of the others.
+def _dense(large: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of buckets that are split on: the members of dense ones (``sid, lead``), the entries of middling ones, and those of the others.
 
     A bucket is dense if most members are near one of a few random members. The first of these, the
-    leader, only names the bucket's group, in which all members meet.
+    leader, only names the bucket's group, in which all members meet. Of the rest those are middling
+    whose sets can be compared pair by pair at once: no loss by more splits, and few candidates, as
+    members are near few others.
     """
     entry = F.struct("sid", "s1", "s2")
     probes = [F.min(F.struct(F.xxhash64("sid", F.lit(i)).alias("o"), entry.alias("e"))).alias(f"p{i}") for i in range(PROBES)]
@@ -283,10 +293,12 @@ def _dense(large: DataFrame, scratch: Scratch, threshold: float) -> tuple[DataFr
     # Written first, so that a bucket's members are combined in the tasks that hold them before they meet.
     met = scratch.save(large.join(probes, "key").select(*_FIELDS, F.col("p0.e.sid").alias("lead"), *near))
     scratch.drop(probes)
-    share = F.greatest(*(F.avg(f"n{i}") for i in range(PROBES)))
-    dense = scratch.save(met.groupBy("key").agg(share.alias("share")).where(F.col("share") >= DENSE).select("key"))
-    thick = met.join(dense, "key", "left_semi").select("sid", "lead")
-    return thick.distinct(), met.join(dense, "key", "left_anti").select(*_FIELDS)
+    near = F.greatest(*(F.sum(f"n{i}") for i in range(PROBES)))
+    middling = (F.col("size") <= MIDDLE) & (F.col("near") <= NEAR)
+    kind = F.when(F.col("near") >= DENSE * F.col("size"), "dense").when(middling, "middling").otherwise("thin")
+    kinds = scratch.save(met.groupBy("key").agg(F.count(F.lit(1)).alias("size"), near.alias("near")).select("key", kind.alias("kind")))
+    of = lambda kind: met.join(kinds.where(F.col("kind") == kind).select("key"), "key", "left_semi")
+    return of("dense").select("sid", "lead").distinct(), of("middling").select(*_FIELDS), of("thin").select(*_FIELDS)
 
 
 class _Search:
@@ -307,11 +319,14 @@ class _Search:
         sizes = self.scratch.save(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         sized = self.scratch.save(entries.join(sizes, "key"))
         self.scratch.drop(sizes)
-        small = sized.where(F.col("size") <= self.bucket).select(*_FIELDS)
-        ordered = small.repartition(self.n, "key").sortWithinPartitions("key")
-        pairs = self.scratch.save(ordered.mapInArrow(_bucket_pairs(self.threshold, self.bucket), "a bigint, b bigint"))
+        pairs = self.compared(sized.where(F.col("size") <= self.bucket).select(*_FIELDS), self.bucket)
         return pairs, sized.where(F.col("size") > self.bucket).select(*_FIELDS)
 
+    def compared(self, small: DataFrame, most: int) -> DataFrame:
+        """Candidate pairs within buckets of at most ``most`` sets."""
+        ordered = small.repartition(self.n, "key").sortWithinPartitions("key")
+        return self.scratch.save(ordered.mapInArrow(_bucket_pairs(self.threshold, most), "a bigint, b bigint"))
+
     def signed(self, large: DataFrame) -> DataFrame:
         """The signatures of what recurses: the whole table is read once, later levels read this part."""
         return self.scratch.save(self.sets.select("sid", "sig").join(large.select("sid").distinct().hint("merge"), "sid", "left_semi"))
@@ -330,8 +345,9 @@ class _Search:
             if large.limit(1).count() == 0:
                 break
             if depth >= WHOLE:
-                thick, thin = _dense(large, self.scratch, self.threshold)
+                thick, middling, thin = _dense(large, self.scratch, self.threshold)
                 dense.append(thick)
+                found.append(self.compared(middling, MIDDLE))
                 if depth >= DEEPEST:  # what still isn't small is treated alike
                     dense.append(thin.groupBy("key").agg(F.min("sid").alias("lead")).join(thin, "key").select("sid", "lead"))
                     break

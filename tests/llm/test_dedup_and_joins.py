@@ -147,6 +147,39 @@ def test_dense_groups_and_common_passages(spark):
     assert joined(spark, rows)[0] == true_classes(rows)[0]
 
 
+def test_middling_buckets_are_compared_and_not_split_on(spark, monkeypatch):
+    """Unlike texts that share most of their words, some with a twin: their buckets are large, but not dense."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        words = [f"w{i}x{k}" for k in range(60)] + passage
+        rows.append((len(rows), " ".join(words)))
+        if i % 3 == 0:
+            words[rng.randrange(5, 55)] = "other"
+            rows.append((len(rows), " ".join(words)))
+    splits, original = [], jaccard_join._Search.deepen
+    monkeypatch.setattr(jaccard_join._Search, "deepen", lambda self, large, sigs, n: splits.append(n) or original(self, large, sigs, n))
+    classes, links = joined(spark, rows, bucket=4)
+    want, degree = true_classes(rows)
+    assert classes == want and links == degree and len(set(want.values())) == 90
+    assert splits == [1]
+
+
+def test_pairs_of_a_bucket_against_all_pairs(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sketch = rng.integers(-(2**63), 2**63 - 1, (40, 2))[rng.integers(0, 40, 900)]
+    key, sid = np.sort(rng.integers(0, 4, 900)), rng.permutation(900)
+    cols = [key, sid, sketch[:, 0], sketch[:, 1]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[at : at + 70]) for c in cols], list("abcd")) for at in range(0, 900, 70)]
+    monkeypatch.setattr(jaccard_join, "PAIRS", 100)
+    got = [p for b in jaccard_join._bucket_pairs(0.8, jaccard_join.MIDDLE)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
+    same = (key[:, None] == key) & (sketch[:, None] == sketch).all(axis=2)
+    assert len(got) == len(set(got)) and set(got) == {(min(sid[i], sid[j]), max(sid[i], sid[j])) for i, j in np.argwhere(same) if i < j}
+
+
 def test_the_rest_of_dense_groups_is_compared_in_blocks(spark, monkeypatch):
     """Twins that are like each other but no leader, among many edits of one text; blocks of a few sets."""
     rng = random.Random(6)
